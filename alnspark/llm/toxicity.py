@@ -1,14 +1,17 @@
 """Operator 7: toxicity, cumulative-link ordinal regression.
 
 P(grade <= k) = logistic(cut_k - w.x): one weight vector shared by all ordered cuts.  Features are
-sparse: words of a text (letters, lower case) and their beginnings, as indicators.  Labels hold only
-toxic or not, so the training grades are derived from them: 0 for rows not marked toxic; rows marked
-toxic have grade 1, 2 or 3 by the number of words whose beginning or whole is marked: seen in
-``MARKED_DOCS`` toxic rows or more and in no other row (1: up to two such words, 2: up to five, 3:
-more).  The output is the expected severity, sum of k * P(grade = k).
+sparse: words of a text (letters, lower case) and their beginnings, as indicators; those enter that
+are more frequent in toxic rows by ``LEAST_Z`` standard errors (and by ``TOP_SHARE`` of what the clearest feature reaches, which keeps out words that toxic rows share
+by chance) and ``LEAST_RATIO`` times, and their weights are never negative,
+so that no other word can hide them.  Of near copies in the sample one counts.
+
+Labels hold only toxic or not, so the training grades are derived from them: 0 for rows not marked
+toxic; rows marked toxic have grade 1, 2 or 3 by how many of their words carry such a feature (1: up
+to two, 2: up to five, 3: more).  The output is the expected severity, sum of k * P(grade = k).
 
 A document is rejected if P(grade >= 1) exceeds a threshold calibrated on the sample: at most
-``CLEAN_LOSS`` of its rows not marked toxic lie above it, and it is at least 0.5.
+``CLEAN_LOSS`` of its rows not marked toxic lie above it, within 0.5 and 0.9.
 
 Edge cases: a null or empty text has no features and gets the severity of the cuts alone; repeated
 rows get equal results; without labels of both classes nothing is rejected and severity is 0.
@@ -16,7 +19,9 @@ rows get equal results; without labels of both classes nothing is rejected and s
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -29,9 +34,10 @@ from .common import annotate, labelled_sample
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE = 3000
 GRADES = 4
-MARKED_DOCS, GRADE_WORDS = 6, (2, 5)
-LEAST_DOCS, MOST_FEATURES, PREFIXES = 3, 40_000, (5, 7)
-RIDGE, ROUNDS, CLEAN_LOSS = 2e-3, 300, 0.001
+GRADE_WORDS = (2, 5)
+LEAST_DOCS, LEAST_Z, MOST_FEATURES, PREFIXES = 3, 4.5, 20_000, (3, 4, 5, 6, 7)
+LEAST_RATIO, TOP_SHARE = 8.0, 0.2
+RIDGE, ROUNDS, CLEAN_LOSS = 2e-3, 300, 0.002
 
 _STRIP = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
@@ -59,20 +65,14 @@ class Ordinal:
     cuts: np.ndarray = field(default_factory=lambda: np.zeros(0))
     threshold: float = 1.0
 
-    def latent(self, text: str) -> float:
-        get = self.weights.get
-        out = 0.0
-        for w in words_of(text):
-            out += get(w, 0.0)
-            for n in PREFIXES:
-                if len(w) > n:
-                    out += 0.0 if (p := w[:n] + "-") in self._seen else get(p, 0.0)
-                    self._seen.add(p)
-        self._seen.clear()
-        return out
-
     def __post_init__(self):
-        self._seen: set[str] = set()
+        self._starts = {f[: min(PREFIXES)] for f in self.weights} | {f.rstrip("-")[: min(PREFIXES)] for f in self.weights}
+
+    def latent(self, text: str) -> float:
+        """w.x of a text: the weights of its distinct features."""
+        starts, least, get = self._starts, min(PREFIXES), self.weights.get
+        found = {w for w in words_of(text) if w[:least] in starts}
+        return math.fsum(get(f, 0.0) for f in features(found)) if found else 0.0
 
     def grades(self, latent: np.ndarray) -> np.ndarray:
         """P(grade = k) for each row."""
@@ -82,13 +82,42 @@ class Ordinal:
         return np.diff(np.hstack([np.zeros((len(latent), 1)), below, np.ones((len(latent), 1))]), axis=1)
 
 
-def grade_rows(rows: list[tuple[set[str], int]]) -> np.ndarray:
-    """Training grades from binary labels, as the module describes."""
+def marked_features(rows: list[tuple[set[str], int]]) -> list[str]:
+    """Features more frequent in toxic rows, by a two-proportion test."""
+    size = [sum(y == c for _, y in rows) for c in (0, 1)]
     tally = [Counter(f for own, y in rows if y == c for f in features(own)) for c in (0, 1)]
-    marked = {f for f, n in tally[1].items() if n >= MARKED_DOCS and not tally[0][f]}
+    found = []
+    for f, n in tally[1].items():
+        if n >= LEAST_DOCS:
+            share = (n + tally[0][f]) / sum(size)
+            error = math.sqrt(share * (1 - share) * (1 / size[0] + 1 / size[1])) or 1e-9
+            z = (n / size[1] - tally[0][f] / size[0]) / error
+            if n / size[1] >= LEAST_RATIO * (tally[0][f] + 0.5) / size[0]:
+                found.append((-z, f))
+    found.sort()
+    least = max(LEAST_Z, -TOP_SHARE * found[0][0]) if found else 0.0
+    return [f for z, f in found[:MOST_FEATURES] if -z >= least]
+
+
+def without_copies(rows: list[tuple[set[str], int]]) -> list[tuple[set[str], int]]:
+    """Rows but for near copies of earlier ones of their class: those that share one of four least
+    hashes over their longer words."""
+    seen: set[tuple[int, int, int]] = set()
+    out = []
+    for own, y in rows:
+        raw = [w.encode() for w in own if len(w) >= 8]
+        least = [(y, k, min(zlib.crc32(w, k) for w in raw)) for k in range(1, 5)] if len(raw) >= 10 else []
+        if not any(x in seen for x in least):
+            out.append((own, y))
+        seen.update(least)
+    return out
+
+
+def grade_rows(rows: list[tuple[set[str], int]], marked: set[str]) -> np.ndarray:
+    """Training grades from binary labels, as the module describes."""
     grades = []
     for own, y in rows:
-        n = sum(1 for w in own if w in marked or any(w[:k] + "-" in marked for k in PREFIXES if len(w) > k))
+        n = sum(1 for w in own if not marked.isdisjoint(features({w}))) if y else 0
         grades.append(0 if not y else 1 + sum(n > most for most in GRADE_WORDS))
     return np.array(grades)
 
@@ -121,7 +150,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, size: int, classes:
             if k:
                 cuts = np.maximum.accumulate(cuts - move + 1e-3 * np.arange(classes - 1))
             else:
-                w = w - move
+                w = np.maximum(w - move, 0.0)
     return w, cuts
 
 
@@ -130,17 +159,18 @@ def train(rows: list[tuple[set[str], int]]) -> Ordinal:
     y = np.array([label for _, label in rows])
     if not len(y) or y.min() == y.max():
         return Ordinal()
-    grades = grade_rows(rows)
-    sets = [features(own) for own, _ in rows]
-    tally = Counter(f for s in sets for f in s)
-    names = [f for f, n in sorted(tally.items(), key=lambda x: (-x[1], x[0])) if n >= LEAST_DOCS][:MOST_FEATURES]
+    rows = without_copies(rows)
+    y = np.array([label for _, label in rows])
+    names = marked_features(rows)
     number = {f: i for i, f in enumerate(names)}
+    grades = grade_rows(rows, set(names))
+    sets = [features(own) for own, _ in rows]
     index = [np.array(sorted(number[f] for f in s if f in number), dtype=np.int64) for s in sets]
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     w, cuts = fit_ordinal(index, grades, len(names), GRADES, weight)
     model = Ordinal({f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-6}, cuts)
     clean = np.sort(1 - model.grades(np.array([w[r].sum() for r, k in zip(index, y, strict=True) if not k]))[:, 0])
-    model.threshold = max(0.5, float(clean[min(len(clean) - 1, int(np.ceil((1 - CLEAN_LOSS) * len(clean))) - 1)]))
+    model.threshold = min(0.9, max(0.5, float(clean[min(len(clean) - 1, int(np.ceil((1 - CLEAN_LOSS) * len(clean))) - 1)])))
     return model
 
 
