@@ -16,6 +16,8 @@ import hashlib
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import annotate
 
-#: Entries kept per cache and worker before it starts afresh; bounds memory, never results.
-CACHE_ENTRIES = 200_000
+#: Words and pieces kept per worker before the older half is let go; bounds memory, never results.
+WORDS_KEPT, PIECES_KEPT = 600_000, 200_000
 
 # White space as the splitting pattern sees it (Unicode White_Space).
 _WS = "\\t-\\r \x85\xa0  -     　"
@@ -35,8 +37,8 @@ _MARKS = r'.,;:!?#$%&*|()"\]\[/+=\-'
 _PIECES = re.compile(
     f" ?[{_LETTERS}]++(?![^{_WS}{_MARKS}])| ?[{_MARKS}]++(?![^{_WS}])| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]"
 )
-#: A blank that lies between blanks: there, cutting at single spaces would part a run.
-_RUN = re.compile(f"[{_WS}] (?![^{_WS}])")
+#: Pieces of letters alone are one match of the splitting pattern, so the merges apply at once.
+_LETTERS_ONLY = re.compile(f" ?[{_LETTERS}]+")
 
 
 def default_path(name: str) -> str:
@@ -46,6 +48,33 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Odd(Exception):
+    """A text that cannot be cut at single spaces, as blanks stand side by side."""
+
+
+class _Kept(dict):
+    """Ids by piece, computed when first met.  Two generations: when the younger is full the older
+    is let go, and what is still used moves up."""
+
+    def __init__(self, most: int, make):
+        super().__init__()
+        self.most, self.make, self.older = most, make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, "<u4").tobytes()
+
+
 class PieceEncoder:
     """Encodes texts to little-endian 32-bit ids, reusing what it has encoded before."""
 
@@ -55,39 +84,45 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _learn(self, missing: list[str]) -> None:
-        """Encode the pieces of ``missing`` that are not cached yet."""
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        new = list({p for text in missing for p in _PIECES.findall(text) if p not in self.pieces})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            got = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
-            owner = np.asarray(got.word_ids, dtype=np.int64)
-            cut = (4 * np.searchsorted(owner, np.arange(len(part) + 1))).tolist()
-            raw = np.asarray(got.ids, dtype="<u4").tobytes()
-            self.pieces.update((p, raw[cut[i] : cut[i + 1]]) for i, p in enumerate(part))
+        self.model = self.library.model
+        self.shown = {b: c for c, b in byte_characters().items()}  # for str.translate, by code
+        self.pieces = _Kept(PIECES_KEPT, self._encode_piece)
+        self.words = _Kept(WORDS_KEPT, self._encode_word)
+
+    def _merged(self, piece: str) -> bytes:
+        """Ids of a piece that is one match of the splitting pattern."""
+        shown = piece.encode().decode("latin-1").translate(self.shown)
+        return _packed([t.id for t in self.model.tokenize(shown)])
+
+    def _encode_piece(self, piece: str) -> bytes:
+        if piece[0] == " " and (known := self.words.get(piece[1:])) is not None:
+            return known
+        if _LETTERS_ONLY.fullmatch(piece):
+            return self._merged(piece)
+        return _packed(self.library.encode(piece, add_special_tokens=False).ids)
 
     def _joined(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
 
+    def _encode_word(self, word: str) -> bytes:
+        """A word with the space before it.  If it is empty, or begins or ends with a blank, the
+        space may belong to a longer run of blanks."""
+        if _LETTERS_ONLY.fullmatch(word):
+            return self._merged(" " + word)
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Odd
+        return self._joined(" " + word)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed little-endian unsigned 32-bit numbers."""
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        plain = [None if _RUN.search(t) else t.split(" ") for t in texts]
-        new = list({w for p in plain if p for w in p[1:] if w not in self.words})
-        heads = [t if p is None else p[0] for t, p in zip(texts, plain, strict=True)]
-        self._learn([*heads, *(" " + w for w in new)])
-        self.words.update((w, self._joined(" " + w)) for w in new)
-        get = self.words.__getitem__
-        return [
-            self._joined(h) + b"".join(map(get, p[1:])) if p else self._joined(h)
-            for h, p in zip(heads, plain, strict=True)
-        ]
+        out, get = [], self.words.__getitem__
+        for text in texts:
+            head, *words = text.split(" ")
+            try:
+                out.append(self._joined(head) + b"".join(map(get, words)))
+            except _Odd:
+                out.append(self._joined(text))
+        return out
 
 
 def byte_characters() -> dict[str, int]:

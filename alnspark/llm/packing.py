@@ -34,7 +34,8 @@ from .bpe import PieceEncoder, default_path
 from .common import SLICE, bounded_batches, texts_of
 
 #: Examples held for one round of packing, and how many are kept back for the next round.
-BLOCK, KEPT_BACK = 2048, 256
+BLOCK, KEPT_BACK = 1024, 128
+TAKEN = 1e18
 
 
 @dataclass(frozen=True)
@@ -54,42 +55,45 @@ class Packer:
 
     def __init__(self, limits: Limits):
         self.limit = limits.vector()
-        self.size = np.zeros((0, 3))
+        self.size = np.zeros((3, 0))
         self.items: list = []
 
     def add(self, items: list, sizes: list[tuple[int, int, int]]) -> None:
         self.items += items
-        self.size = np.vstack([self.size, np.asarray(sizes, dtype=np.float64).reshape(-1, 3)])
+        self.size = np.hstack([self.size, np.asarray(sizes, dtype=np.float64).reshape(-1, 3).T])
 
     def sequences(self, keep: int, cut=None) -> Iterator[list]:
         """Sequences of items, until at most ``keep`` items are left.
 
         ``cut(item, tokens)`` parts an item into two, each with its vector; None forbids it.
         """
-        alive = np.ones(len(self.items), dtype=bool)
-        scaled = self.size / self.limit
+        tokens, segments, loss = self.size
+        weight = 1 / self.limit**2
         left = len(self.items)
         while left > keep:
             room, own = self.limit.copy(), []
             while left:
-                fits = alive & (self.size <= room).all(axis=1)
-                if not fits.any():
+                # an item that was taken counts as too large
+                fits = (tokens <= room[0]) & (segments <= room[1]) & (loss <= room[2])
+                scale = room * weight
+                product = np.where(fits, tokens * scale[0] + segments * scale[1] + loss * scale[2], -1.0)
+                best = int(product.argmax())
+                if not fits[best]:
                     break
-                best = int(np.where(fits, scaled @ (room / self.limit), -1.0).argmax())
                 own.append(self.items[best])
-                room -= self.size[best]
-                alive[best] = False
+                room -= self.size[:, best]
+                tokens[best] = TAKEN
                 left -= 1
             if cut and left and room[0] >= 1 and room[1] >= 1 and room[2] >= room[0] - 1:
-                best = int(np.where(alive, self.size[:, 0], -1.0).argmax())
+                best = int(np.where(tokens < TAKEN, tokens, -1.0).argmax())
                 (head, _), (tail, rest) = cut(self.items[best], int(room[0]))
                 own.append(head)
                 self.items[best] = tail
-                self.size[best] = rest
-                scaled[best] = self.size[best] / self.limit
+                self.size[:, best] = rest
             yield own
-        self.items = [x for x, a in zip(self.items, alive, strict=True) if a]
-        self.size = self.size[alive]
+        alive = tokens < TAKEN
+        self.items = [x for x, a in zip(self.items, alive.tolist(), strict=True) if a]
+        self.size = np.ascontiguousarray(self.size[:, alive])
 
 
 def powers(total: int) -> list[int]:
