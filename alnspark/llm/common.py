@@ -57,6 +57,19 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+def by_place(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns under names of their places, so that no name can clash with another."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def annotate(
     df: DataFrame,
     text_col: str,
@@ -75,7 +88,7 @@ def annotate(
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     out = T.StructType([df.schema[c] for c in kept] + fields)
-    source = df.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in kept])
+    source = by_place(df, [text_col, *kept])
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = [to_arrow_type(f.dataType) for f in fields]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, bounded_batches, materialize, scratch, texts_of
+from .common import SLICE, bounded_batches, by_place, materialize, scratch, texts_of
 
 ROW = 192
 #: Bytes after which a task begins a new shard, and the bytes of a PNG that hold its header.
@@ -118,7 +118,7 @@ def store(docs: DataFrame, folder: str, text_col: str = "text", keep: list[str]
     new = {f.name for f in PLACE}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     out = T.StructType([docs.schema[c] for c in kept] + PLACE.fields)
-    source = docs.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in kept])
+    source = by_place(docs, [text_col, *kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = open_store(folder)
@@ -159,9 +159,15 @@ def store(docs: DataFrame, folder: str, text_col: str = "text", keep: list[str]
     return materialize(source.mapInArrow(run, out), "media-rows")
 
 
+def by_shard(table: DataFrame) -> DataFrame:
+    """Deal shards out to tasks, about one to each, in the order of their offsets."""
+    shards = table.select("shard").distinct().count()
+    return table.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "offset")
+
+
 def _ranges(table: DataFrame, folder: str, fields: list[T.StructField], read) -> DataFrame:
-    """Append columns that ``read(file, offset, length)`` gives; shards are dealt out to tasks and
-    read from front to back."""
+    """Append columns that ``read(file, offset, length)`` gives; rows are read in their order, so
+    :func:`by_shard` should stand before."""
     out = T.StructType(table.schema.fields + fields)
     names, at = table.columns, {c: table.columns.index(c) for c in ("shard", "offset", "length")}
     types = [pa.string() if f.dataType == T.StringType() else pa.int64() for f in fields]
@@ -182,7 +188,7 @@ def _ranges(table: DataFrame, folder: str, fields: list[T.StructField], read) ->
         if file is not None:
             file.close()
 
-    return table.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(run, out)
+    return table.mapInArrow(run, out)
 
 
 def fill_metadata(table: DataFrame, folder: str) -> DataFrame:
@@ -219,6 +225,6 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     folder = folder or scratch(docs.sparkSession, "media")
     rows = store(docs, folder, text_col, keep=[id_col])
     places = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p"))
-    places = places.select("digest", "p.shard", "p.offset", "p.length")
+    places = by_shard(places.select("digest", "p.shard", "p.offset", "p.length"))
     filled = materialize(read_back(fill_metadata(places, folder), folder), "media-columns")
     return rows.select(F.col(id_col), "n_bytes", "digest").join(filled, "digest")

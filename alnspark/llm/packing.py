@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import PieceEncoder, default_path
-from .common import SLICE, bounded_batches, texts_of
+from .common import SLICE, bounded_batches, by_place, texts_of
 
 #: Examples held for one round of packing, and how many are kept back for the next round.
 BLOCK, KEPT_BACK = 1024, 128
@@ -222,7 +222,7 @@ def pack_texts(
         if columns[0]:
             yield flush()
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return by_place(docs, [id_col, text_col]).mapInArrow(run, schema)
 
 
 def pack_examples(
@@ -234,11 +234,9 @@ def pack_examples(
     new = ["sequence_id", "slot", "offset"]
     kept = [c for c in examples.columns if c.lower() not in new]
     schema = T.StructType([examples.schema[c] for c in kept] + [T.StructField(n, T.LongType()) for n in new])
-    source = examples.select(
-        F.coalesce(F.col(f"`{tokens_col}`").cast("long"), F.lit(0)).alias("__tokens"),
-        F.coalesce(F.col(f"`{loss_col}`").cast("long"), F.lit(0)).alias("__loss"),
-        *[F.col(f"`{c}`") for c in kept],
-    )
+    counts = [F.coalesce(F.col(f"c{i}").cast("long"), F.lit(0)) for i in (0, 1)]
+    source = by_place(examples, [tokens_col, loss_col, *kept])
+    source = source.select(counts[0].alias("c0"), counts[1].alias("c1"), *source.columns[2:])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, bounded_batches, materialize
+from .common import annotate, bounded_batches, fresh, materialize
 from .components import components
 
 WORDS, BITS, SEED = 4, 4, 42
@@ -193,8 +193,8 @@ def links(distinct: DataFrame, bits: int = BITS, bound: int = LIST_BOUND) -> Dat
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int, seed: int) -> DataFrame:
     """(__id, fp, label, component_id) of every row; label is the smallest fingerprint reachable."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
-    marked = materialize(fingerprints(rows, "__text", words, seed, keep=["__id"]), "fingerprints")
+    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text"))
+    marked = materialize(fingerprints(rows, "text", words, seed, keep=["__id"]), "fingerprints")
     owners = materialize(marked.groupBy("fp").agg(F.min("__id").alias("first")), "owners")
     member = components(links(owners.select("fp"), bits))
     labelled = owners.join(member, owners["fp"] == member["node"], "left").select(
@@ -236,17 +236,19 @@ def keep_first(
     first = marked.filter(F.col("__id").eqNullSafe(F.col("component_id")))
     first = materialize(first.groupBy("label").agg(F.min("__id").alias("__id"), F.min("fp").alias("fp")), "first")
     repeated = materialize(marked.groupBy("__id").count().filter("count > 1 OR __id IS NULL").select("__id"), "repeated")
-    by_id = F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
+    wanted = fresh(docs, "__wanted")
+    by_id = F.col(f"`{id_col}`").eqNullSafe(F.col(wanted))
     if repeated.isEmpty():
-        return docs.join(first.select("__id"), by_id, "left_semi")
+        return docs.join(first.select(F.col("__id").alias(wanted)), by_id, "left_semi")
     plain = first.join(repeated, "__id", "left_anti").filter("__id IS NOT NULL")
-    out = docs.join(plain.select("__id"), by_id, "left_semi")
-    again = first.join(repeated.withColumnRenamed("__id", "__r"), F.col("__id").eqNullSafe(F.col("__r")), "left_semi")
-    again = again.select(F.col("__id"), F.col("fp").alias("__fp"), F.col("label").alias("__label"))
-    rows = docs.withColumn("__kept", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select(
-        F.col(f"`{id_col}`").alias("__own"), F.col(f"`{text_col}`").alias("__text"), "__kept"
+    out = docs.join(plain.select(F.col("__id").alias(wanted)), by_id, "left_semi")
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("own"), F.col(f"`{text_col}`").alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
-    rows = rows.join(repeated, F.col("__own").eqNullSafe(F.col("__id")), "left_semi")
-    rows = fingerprints(rows, "__text", words, seed, keep=["__own", "__kept"])
-    rows = rows.join(again, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")))
-    return out.unionByName(rows.dropDuplicates(["__label"]).select("__kept.*"))
+    rows = rows.join(repeated, F.col("own").eqNullSafe(F.col("__id")), "left_semi")
+    rows = fingerprints(rows, "text", words, seed, keep=["own", "row"])
+    again = first.join(repeated.withColumnRenamed("__id", "r"), F.col("__id").eqNullSafe(F.col("r")), "left_semi")
+    again = again.select(F.col("__id"), F.col("fp").alias("f"), "label")
+    rows = rows.join(again, F.col("own").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("f")))
+    return out.unionByName(rows.dropDuplicates(["label"]).select("row.*"))
