@@ -166,7 +166,7 @@ def put_bitmap32(values: np.ndarray) -> bytes:
     """The portable form of a bitmap of ascending distinct 32-bit numbers, without runs."""
     values = np.asarray(values, dtype=np.uint64)
     keys, starts = np.unique(values >> np.uint64(16), return_index=True)
-    ends = np.append(starts[1:], len(values))
+    ends = np.append(starts[1:], len(values))[: len(starts)]
     head = struct.pack("<II", COOKIE_PLAIN, len(keys))
     index, bodies = b"", []
     for key, s, e in zip(keys.tolist(), starts.tolist(), ends.tolist(), strict=True):
@@ -226,7 +226,7 @@ def take_bitmap32(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
 def put_bitmap64(values: np.ndarray) -> bytes:
     values = np.asarray(values, dtype=np.uint64)
     keys, starts = np.unique(values >> np.uint64(32), return_index=True)
-    ends = np.append(starts[1:], len(values))
+    ends = np.append(starts[1:], len(values))[: len(starts)]
     out = struct.pack("<Q", len(keys))
     for key, s, e in zip(keys.tolist(), starts.tolist(), ends.tolist(), strict=True):
         out += struct.pack("<I", key) + put_bitmap32(values[s:e] & np.uint64(U32))
