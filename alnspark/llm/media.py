@@ -102,9 +102,10 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+ARROW = {T.StringType(): pa.string(), T.BinaryType(): pa.binary(), T.LongType(): pa.int64()}
 PLACE = T.StructType([
     T.StructField("n_bytes", T.LongType()),
-    T.StructField("digest", T.StringType()),
+    T.StructField("digest", T.BinaryType()),
     T.StructField("shard", T.StringType()),
     T.StructField("offset", T.LongType()),
     T.StructField("length", T.LongType()),
@@ -124,7 +125,7 @@ def store(docs: DataFrame, folder: str, text_col: str = "text", keep: list[str]
         filesystem, root = open_store(folder)
         filesystem.create_dir(root, recursive=True)
         task, made, at, file, name = TaskContext.get(), 0, 0, None, ""
-        places: dict[bytes, tuple[str, int, int]] = {}
+        places: dict[bytes, tuple[bytes, str, int, int]] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
@@ -134,7 +135,7 @@ def store(docs: DataFrame, folder: str, text_col: str = "text", keep: list[str]
                     key = hashlib.sha256(payload + n_bytes.to_bytes(8, "little")).digest()
                     if key not in places:
                         data = to_png(payload)
-                        digest = hashlib.sha256(data).hexdigest()
+                        digest = hashlib.sha256(data).digest()
                         if file is None or at > SHARD_BYTES:
                             if file is not None:
                                 file.write(b"\0" * 1024)
@@ -142,7 +143,7 @@ def store(docs: DataFrame, folder: str, text_col: str = "text", keep: list[str]
                             name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}-{made:04d}.tar"
                             file, at, made = filesystem.open_output_stream(f"{root}/{name}"), 0, made + 1
                             places.clear()  # bounds memory; a shard holds a payload once
-                        info = tarfile.TarInfo(f"{digest}.png")
+                        info = tarfile.TarInfo(f"{digest.hex()}.png")
                         info.size = len(data)
                         head = info.tobuf(tarfile.PAX_FORMAT)
                         file.write(head + data + b"\0" * (-len(data) % 512))
@@ -150,7 +151,7 @@ def store(docs: DataFrame, folder: str, text_col: str = "text", keep: list[str]
                         at += len(head) + len(data) + -len(data) % 512
                     for column, value in zip(columns, (n_bytes, *places[key]), strict=True):
                         column.append(value)
-                values = [pa.array(c, pa.string() if f.dataType == T.StringType() else pa.int64()) for c, f in zip(columns, PLACE, strict=True)]
+                values = [pa.array(c, ARROW[f.dataType]) for c, f in zip(columns, PLACE, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *values], names=out.names)
         if file is not None:
             file.write(b"\0" * 1024)
@@ -170,7 +171,7 @@ def _ranges(table: DataFrame, folder: str, fields: list[T.StructField], read) ->
     :func:`by_shard` should stand before."""
     out = T.StructType(table.schema.fields + fields)
     names, at = table.columns, {c: table.columns.index(c) for c in ("shard", "offset", "length")}
-    types = [pa.string() if f.dataType == T.StringType() else pa.int64() for f in fields]
+    types = [ARROW[f.dataType] for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = open_store(folder)
@@ -205,20 +206,21 @@ def read_back(table: DataFrame, folder: str) -> DataFrame:
         data = file.read_at(length, offset)
         payload = from_png(data)
         sha = hashlib.sha256
-        return len(payload), sha(payload).hexdigest(), zlib.crc32(payload[-16:]), feature_of(payload), sha(data).hexdigest()
+        return len(payload), sha(payload).digest(), zlib.crc32(payload[-16:]), feature_of(payload), sha(data).digest()
 
     fields = [
         T.StructField("payload_bytes", T.LongType()),
-        T.StructField("payload_sha256", T.StringType()),
+        T.StructField("payload_sha256", T.BinaryType()),
         T.StructField("tail_crc32", T.LongType()),
         T.StructField("feature", T.StringType()),
-        T.StructField("media_sha256", T.StringType()),
+        T.StructField("media_sha256", T.BinaryType()),
     ]
     return _ranges(table, folder, fields, read)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """Store all payloads, then give each row its place, header columns and features.
+    """Store all payloads, then give each row its place, header columns and features (digests in
+    hexadecimal; before, they are bytes, to keep what is shuffled small).
 
     Stored bytes are read once per distinct payload, whatever the number of rows that share it.
     """
@@ -227,4 +229,5 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p"))
     places = by_shard(places.select("digest", "p.shard", "p.offset", "p.length"))
     filled = materialize(read_back(fill_metadata(places, folder), folder), "media-columns")
-    return rows.select(F.col(id_col), "n_bytes", "digest").join(filled, "digest")
+    out = rows.select(F.col(id_col), "n_bytes", "digest").join(filled, "digest")
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("digest", "payload_sha256", "media_sha256")})
