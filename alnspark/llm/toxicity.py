@@ -1,10 +1,12 @@
 """Operator 7: toxicity, cumulative-link ordinal regression.
 
 P(grade <= k) = logistic(cut_k - w.x): one weight vector shared by all ordered cuts.  Features are
-sparse: words of a text (letters, lower case) and their beginnings, as indicators; those enter that
-are more frequent in toxic rows by ``LEAST_Z`` standard errors (and by ``TOP_SHARE`` of what the clearest feature reaches, which keeps out words that toxic rows share
-by chance) and ``LEAST_RATIO`` times, and their weights are never negative,
-so that no other word can hide them.  Of near copies in the sample one counts.
+sparse indicators: the words of a text (letters, lower case), and beginnings of words that open at
+least ``LEAST_RATE`` of its words, once or at least twice (any beginning turns up by chance in
+a long text; a rate tells that from use).  Those enter that are more frequent in toxic rows by
+``LEAST_Z`` standard errors (and by ``TOP_SHARE`` of what the clearest feature reaches, which keeps
+out words that toxic rows share by chance) and ``LEAST_RATIO`` times, and their weights are never
+negative, so that no other word can hide them.  Of near copies in the sample one counts.
 
 Labels hold only toxic or not, so the training grades are derived from them: 0 for rows not marked
 toxic; rows marked toxic have grade 1, 2 or 3 by how many of their words carry such a feature (1: up
@@ -36,26 +38,39 @@ SAMPLE = 3000
 GRADES = 4
 GRADE_WORDS = (2, 5)
 LEAST_DOCS, LEAST_Z, MOST_FEATURES, PREFIXES = 3, 4.5, 20_000, (3, 4, 5, 6, 7)
-LEAST_RATIO, TOP_SHARE = 8.0, 0.2
+LEAST_RATIO, TOP_SHARE = 8.0, 0.25
+#: Share of the words of a text that a beginning opens, at least, to count.
+LEAST_RATE = 0.01
 RIDGE, ROUNDS, CLEAN_LOSS = 2e-3, 300, 0.002
 
 _STRIP = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
-def words_of(text: str) -> set[str]:
-    """Distinct words, lower case, without marks and digits at their ends."""
-    out = set()
-    for w in set(text.lower().split()):
-        out.add(w if w.isalpha() else _STRIP.sub("", w))
-    out.discard("")
+def words_of(text: str) -> dict[str, int]:
+    """Words, lower case, without marks and digits at their ends, and how often each occurs."""
+    out: dict[str, int] = {}
+    for w, n in Counter(text.lower().split()).items():
+        w = w if w.isalpha() else _STRIP.sub("", w)
+        if w:
+            out[w] = out.get(w, 0) + n
     return out
 
 
-def features(words: set[str]) -> set[str]:
-    """Words, and their beginnings marked with a dash."""
+def features(words: dict[str, int], total: int | None = None) -> set[str]:
+    """Words; beginnings that open enough of the ``total`` words, marked with a dash, and with
+    another one if they open two or more."""
     out = set(words)
-    for n in PREFIXES:
-        out.update(w[:n] + "-" for w in words if len(w) > n)
+    least = LEAST_RATE * (sum(words.values()) if total is None else total)
+    for size in PREFIXES:
+        tally: dict[str, int] = {}
+        for w, n in words.items():
+            if len(w) > size:
+                tally[w[:size]] = tally.get(w[:size], 0) + n
+        for start, n in tally.items():
+            if n >= least:
+                out.add(start + "-")
+                if n > 1:
+                    out.add(start + "--")
     return out
 
 
@@ -71,8 +86,9 @@ class Ordinal:
     def latent(self, text: str) -> float:
         """w.x of a text: the weights of its distinct features."""
         starts, least, get = self._starts, min(PREFIXES), self.weights.get
-        found = {w for w in words_of(text) if w[:least] in starts}
-        return math.fsum(get(f, 0.0) for f in features(found)) if found else 0.0
+        words = words_of(text)
+        found = {w: n for w, n in words.items() if w[:least] in starts}
+        return math.fsum(get(f, 0.0) for f in features(found, sum(words.values()))) if found else 0.0
 
     def grades(self, latent: np.ndarray) -> np.ndarray:
         """P(grade = k) for each row."""
@@ -82,7 +98,7 @@ class Ordinal:
         return np.diff(np.hstack([np.zeros((len(latent), 1)), below, np.ones((len(latent), 1))]), axis=1)
 
 
-def marked_features(rows: list[tuple[set[str], int]]) -> list[str]:
+def marked_features(rows: list[tuple[dict[str, int], int]]) -> list[str]:
     """Features more frequent in toxic rows, by a two-proportion test."""
     size = [sum(y == c for _, y in rows) for c in (0, 1)]
     tally = [Counter(f for own, y in rows if y == c for f in features(own)) for c in (0, 1)]
@@ -99,7 +115,7 @@ def marked_features(rows: list[tuple[set[str], int]]) -> list[str]:
     return [f for z, f in found[:MOST_FEATURES] if -z >= least]
 
 
-def without_copies(rows: list[tuple[set[str], int]]) -> list[tuple[set[str], int]]:
+def without_copies(rows: list[tuple[dict[str, int], int]]) -> list[tuple[dict[str, int], int]]:
     """Rows but for near copies of earlier ones of their class: those that share one of four least
     hashes over their longer words."""
     seen: set[tuple[int, int, int]] = set()
@@ -113,11 +129,13 @@ def without_copies(rows: list[tuple[set[str], int]]) -> list[tuple[set[str], int
     return out
 
 
-def grade_rows(rows: list[tuple[set[str], int]], marked: set[str]) -> np.ndarray:
+def grade_rows(rows: list[tuple[dict[str, int], int]], marked: set[str]) -> np.ndarray:
     """Training grades from binary labels, as the module describes."""
     grades = []
     for own, y in rows:
-        n = sum(1 for w in own if not marked.isdisjoint(features({w}))) if y else 0
+        have = marked & features(own) if y else set()
+        starts = {f.rstrip("-") for f in have if f.endswith("-")}
+        n = sum(1 for w in own if w in have or any(w[:k] in starts for k in PREFIXES if len(w) > k)) if have else 0
         grades.append(0 if not y else 1 + sum(n > most for most in GRADE_WORDS))
     return np.array(grades)
 
@@ -154,7 +172,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, size: int, classes:
     return w, cuts
 
 
-def train(rows: list[tuple[set[str], int]]) -> Ordinal:
+def train(rows: list[tuple[dict[str, int], int]]) -> Ordinal:
     """Fit on (words, toxic or not) pairs."""
     y = np.array([label for _, label in rows])
     if not len(y) or y.min() == y.max():
