@@ -17,6 +17,9 @@ SLICE = 256
 #: Rows per Arrow batch sent to a worker, unless the session sets its own figure.
 ARROW_ROWS = 2000
 
+#: A key is hot if it holds more than one in so many rows.
+HOT_KEYS = 4096
+
 WORD_SPACE = "\x20\x09-\x0d"
 
 
@@ -106,6 +109,20 @@ def annotate(
     return source.mapInArrow(run, out)
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each ``key`` and in ``count``
+    how many of the ``total`` rows have that key.
+
+    Keys with more than one in ``HOT_KEYS`` of the rows are fewer than ``HOT_KEYS``; they are
+    broadcast, so that no task gets all rows of one.  The others meet by a shuffle.
+    """
+    hot = F.col(count) > max(total // HOT_KEYS, 1)
+    often = F.broadcast(table.filter(hot).drop(count))
+    by_broadcast = rows.join(often, key)
+    by_shuffle = rows.join(often.select(key), key, "left_anti").join(table.filter(~hot).drop(count), key)
+    return by_broadcast.unionByName(by_shuffle)
+
+
 def crc_bucket(column: str, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % F.lit(modulus)

@@ -13,6 +13,8 @@ a posting list only a spanning forest of the links is written, never all pairs.
 ``d / 2`` bits, which is exact as well and linear in the list.
 
 Components come from alternating star contraction over written tables; nothing grows on the driver.
+A fingerprint or component that holds a large share of all rows is looked up by broadcast (their
+number is bounded), so that its rows stay where they are.
 
 Edge cases: a null or empty text, or one without words, has fingerprint zero and is linked like any
 other; fewer words than a shingle make one shingle of all; repeated rows share a component; null
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, bounded_batches, fresh, materialize
+from .common import annotate, bounded_batches, fresh, lookup, materialize
 from .components import components
 
 WORDS, BITS, SEED = 4, 4, 42
@@ -195,13 +197,17 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int
     """(__id, fp, label, component_id) of every row; label is the smallest fingerprint reachable."""
     rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text"))
     marked = materialize(fingerprints(rows, "text", words, seed, keep=["__id"]), "fingerprints")
-    owners = materialize(marked.groupBy("fp").agg(F.min("__id").alias("first")), "owners")
+    owners = marked.groupBy("fp").agg(F.min("__id").alias("first"), F.count("*").alias("copies"))
+    owners = materialize(owners, "owners")
     member = components(links(owners.select("fp"), bits))
     labelled = owners.join(member, owners["fp"] == member["node"], "left").select(
-        "fp", "first", F.coalesce("label", "fp").alias("label")
+        "fp", "first", "copies", F.coalesce("label", "fp").alias("label")
     )
-    smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    return marked.join(labelled.join(smallest, "label").select("fp", "label", "component_id"), "fp")
+    labelled = materialize(labelled, "labels")
+    smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    smallest = materialize(smallest, "components")
+    named = lookup(labelled.select("fp", "copies", "label"), smallest, "label", "members", owners.count())
+    return lookup(marked, materialize(named, "named"), "fp", "copies", marked.count())
 
 
 def near_duplicates(

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from alnspark.llm import bpe, langid, media, packing, pii_crf, quality_nbsvm, quality_rules, sharding, simhash, toxicity
+from alnspark.llm import bpe, common, langid, media, packing, pii_crf, quality_nbsvm, quality_rules, sharding, simhash, toxicity
 from alnspark.llm.components import components
 
 LONG = "lorem ipsum dolor " * 4000
@@ -224,6 +224,17 @@ def test_simhash(docs, none):
     assert simhash.keep_first(docs.filter("doc_id IS NULL")).count() == 1
 
 
+def test_lookup_equals_a_join(spark, monkeypatch):
+    """Hot keys (here: over a tenth of the rows), rare ones, keys without a partner, and no rows."""
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    keys = [1] * 60 + [2] * 11 + [3] * 10 + list(range(4, 23))
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i int")
+    table = spark.createDataFrame([(k, k * k, n) for k, n in collections.Counter(keys).items() if k != 5] + [(99, 0, 0)], "k long, v long, n long")
+    got = common.lookup(rows, table, "k", "n", len(keys))
+    assert sorted(map(tuple, got.collect())) == sorted((k, i, k * k) for i, k in enumerate(keys) if k != 5)
+    assert common.lookup(rows.limit(0), table.limit(0), "k", "n", 0).collect() == []
+
+
 @pytest.mark.parametrize("bound", [1 << 15, 8])
 def test_links_lose_nothing(spark, bound):
     """Chains and clouds of fingerprints; with a low bound the long lists go the other way."""
