@@ -132,7 +132,7 @@ def store(docs: DataFrame, folder: str, text_col: str = "text", keep: list[str]
                 columns: list[list] = [[] for _ in PLACE]
                 for text in texts_of(part.column(0)):
                     payload, n_bytes = payload_of(text)
-                    key = hashlib.sha256(payload + n_bytes.to_bytes(8, "little")).digest()
+                    key = hashlib.sha256(payload).digest()
                     if key not in places:
                         data = to_png(payload)
                         digest = hashlib.sha256(data).digest()

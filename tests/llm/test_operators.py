@@ -274,6 +274,7 @@ def test_media(spark, docs, none, tmp_path):
             assert hashlib.sha256(f.read(r.length)).hexdigest() == r.media_sha256 == r.digest
     for shard in {r.shard for r in got}:
         with tarfile.open(f"{tmp_path}/media/{shard}") as t:
+            assert len(set(t.getnames())) == len(t.getnames())
             assert all(m.name == hashlib.sha256(t.extractfile(m).read()).hexdigest() + ".png" for m in t.getmembers())
     assert media.media_columns(none).collect() == []
     with pytest.raises(ValueError):
