@@ -45,25 +45,32 @@ BLOCK = 1 << 15
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
-    """SimHash of one text: bit i is set if it is set in over half of the shingle hashes."""
+def shingle_hashes(text: str, words: int, seed: int) -> Iterator[np.ndarray]:
+    """The hashes of the word shingles of a text, in order, at most ``BLOCK`` at once."""
     flat = b" ".join(text.encode().translate(_LOWER).split())
     if not flat:
-        return 0
+        return
     blanks = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
     n = len(blanks) + 1
     if n <= words:
-        return xxhash.xxh64_intdigest(flat, seed)
+        yield np.array([xxhash.xxh64_intdigest(flat, seed)], "<u8")
+        return
     starts = np.concatenate(([0], blanks + 1))[: n - words + 1]
     ends = np.concatenate((blanks, [len(flat)]))[words - 1 :]
-    ones = np.zeros(64, np.int64)
     for at in range(0, len(starts), BLOCK):
         pairs = zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True)
         shingles = [flat[s:e] for s, e in pairs]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), "<u8", len(shingles))
+        yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), "<u8", len(shingles))
+
+
+def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
+    """SimHash of one text: bit i is set if it is set in over half of the shingle hashes."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, words, seed):
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    set_bits = np.packbits(2 * ones > len(starts), bitorder="little")
+        n += len(h)
+    set_bits = np.packbits(2 * ones > n, bitorder="little")
     return int(set_bits.view("<u8")[0])
 
 
@@ -199,7 +206,13 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int
     marked = materialize(fingerprints(rows, "text", words, seed, keep=["__id"]), "fingerprints")
     owners = marked.groupBy("fp").agg(F.min("__id").alias("first"), F.count("*").alias("copies"))
     owners = materialize(owners, "owners")
-    member = components(links(owners.select("fp"), bits))
+    return labels_of(marked, owners, links(owners.select("fp"), bits))
+
+
+def labels_of(marked: DataFrame, owners: DataFrame, linked: DataFrame) -> DataFrame:
+    """(__id, fp, label, component_id) of every row of ``marked`` (__id, fp), by the links between
+    its fingerprints; ``owners`` has the smallest id and the number of rows of each."""
+    member = components(linked)
     labelled = owners.join(member, owners["fp"] == member["node"], "left").select(
         "fp", "first", "copies", F.coalesce("label", "fp").alias("label")
     )
@@ -238,7 +251,14 @@ def keep_first(
 
     Where that id is repeated, one of its rows stays; a component without ids keeps one row too.
     """
-    marked = materialize(_labelled(docs, id_col, text_col, words, bits, seed), "labelled")
+    labelled = _labelled(docs, id_col, text_col, words, bits, seed)
+    return first_of(docs, labelled, id_col, text_col, lambda rows, keep: fingerprints(rows, "text", words, seed, keep))
+
+
+def first_of(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, mark) -> DataFrame:
+    """``docs`` with one row of each label of ``labelled``; ``mark(rows, keep)`` gives the
+    fingerprints of rows whose id is repeated."""
+    marked = materialize(labelled, "labelled")
     first = marked.filter(F.col("__id").eqNullSafe(F.col("component_id")))
     first = materialize(first.groupBy("label").agg(F.min("__id").alias("__id"), F.min("fp").alias("fp")), "first")
     repeated = materialize(marked.groupBy("__id").count().filter("count > 1 OR __id IS NULL").select("__id"), "repeated")
@@ -253,7 +273,7 @@ def keep_first(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
     rows = rows.join(repeated, F.col("own").eqNullSafe(F.col("__id")), "left_semi")
-    rows = fingerprints(rows, "text", words, seed, keep=["own", "row"])
+    rows = mark(rows, ["own", "row"])
     again = first.join(repeated.withColumnRenamed("__id", "r"), F.col("__id").eqNullSafe(F.col("r")), "left_semi")
     again = again.select(F.col("__id"), F.col("fp").alias("f"), "label")
     rows = rows.join(again, F.col("own").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("f")))
