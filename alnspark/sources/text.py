@@ -11,6 +11,7 @@ from ..errors import NeedTargetSequences
 from ..functions.sniff import sniff
 from ..functions.text_formats import HEADERS, PARSERS, header_lines, render
 from ..model import Alignment, dictionary
+from ..operators.concat import same_targets
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -96,9 +97,7 @@ def read_alignment(
         rows = rows.filter(~F.col("value").startswith("@"))
     if targets is None:
         targets = own
-    elif own is not None and [r[0] for r in targets.orderBy("target_id").select("target_name").take(1000)] != [
-        r[0] for r in own.orderBy("target_id").select("target_name").take(1000)
-    ]:
+    elif own is not None and not same_targets(targets, own):
         warnings.warn("the given targets differ from the header's", stacklevel=2)
     if targets is None:
         raise NeedTargetSequences(f"{fmt} lines do not name the targets")

@@ -1,3 +1,5 @@
+import warnings
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,14 @@ def test_command_line_round_trip(spark, names, tmp_path):
     assert sorted(got) == ["0\tr1\tchr.fasta", "1\tr2\tchr.fasta", "2\tr651903\tchr.fasta:plasmid.fasta", "3\tr7543\tplasmid.fasta", "4\tr16\t"]
     with pytest.raises(Exception, match="more than once"):
         cli.main(["cat", one, one, "-o", str(tmp_path / "three.bin")], spark)
+
+
+def test_a_late_difference_from_the_header_warns(spark, tmp_path):
+    own = [f"t{i}" for i in range(1002)]
+    (tmp_path / "in").write_text("\t".join(["query_name", *own]) + "\n" + "\t".join(["r1", *["0"] * 1002]) + "\n")
+    for last, warned in (("t1001", 0), ("other", 1)):
+        (tmp_path / "names").write_text("\n".join([*own[:-1], last]) + "\n")
+        with warnings.catch_warnings(record=True) as seen:
+            warnings.simplefilter("always")
+            read_alignment(spark, str(tmp_path / "in"), targets=read_names(spark, str(tmp_path / "names"), "target"))
+        assert sum("differ from the header" in str(w.message) for w in seen) == warned
