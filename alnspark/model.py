@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workspace import materialize
+
 LONGS = T.ArrayType(T.LongType(), False)
 STRINGS = T.ArrayType(T.StringType(), False)
 
@@ -39,25 +41,24 @@ class Alignment:
 
 
 def dictionary(names: DataFrame, position: str, name: str, kind: str) -> DataFrame:
-    """Ids of distinct names: the rank of their first occurrence.
-
-    Ranks come from counts of range partitions, so no single task sees all names.
-    """
+    """Ids of distinct names: the rank of their first occurrence."""
     first = names.groupBy(F.col(name).alias(f"{kind}_name")).agg(F.min(position).alias("first"))
     return dense_rank_by(first, "first", f"{kind}_id").select(f"{kind}_id", f"{kind}_name")
 
 
 def dense_rank_by(rows: DataFrame, key: str, out: str) -> DataFrame:
-    """Number rows from 0 by a unique key: sort by ranges, count each partition, add up the counts."""
+    """Number rows from 0 by a unique key, without any task seeing all of them.
+
+    The rows are sorted by ranges and written once, each with the range it fell into and its place
+    there.  Only what was written is counted and numbered: range bounds come from a sample, so a
+    second evaluation might cut elsewhere.  One number for each range reaches the driver.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ordered = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key)
-    marked = ordered.withColumn("__m", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned("__m", 33)
-    counts = sorted((r["p"], r["n"]) for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    written = materialize(ordered.withColumn("__p", F.spark_partition_id()).withColumn("__m", place), "ranked")
     starts, total = [], 0
-    for p, n in counts:
-        starts.append((p, total))
-        total += n
-    offsets = rows.sparkSession.createDataFrame(starts, "__p long, __start long")
-    local = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    joined = marked.withColumn("__p", part).join(F.broadcast(offsets), "__p")
-    return joined.withColumn(out, F.col("__start") + local).drop("__p", "__start", "__m")
+    for r in sorted(written.groupBy("__p").count().collect()):
+        starts.append((r["__p"], total))
+        total += r["count"]
+    offsets = rows.sparkSession.createDataFrame(starts, "__p int, __start long")
+    return written.join(F.broadcast(offsets), "__p").withColumn(out, F.col("__start") + F.col("__m")).drop("__p", "__start", "__m")
