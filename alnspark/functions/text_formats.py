@@ -1,12 +1,12 @@
-"""Text formats as Column expressions: one parser and one renderer each.
+"""Text formats on DataFrames and Columns: one parser and one renderer each.
 
-They run in batch and in streams, under whole-stage code generation as far as Spark's array
-functions allow, and never leave the JVM.
+They run in batch and in streams and never leave the JVM.  A parser splits each line once, in a
+projection of its own; the columns of the record then read the fields of that one array.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import U32_MAX
@@ -14,6 +14,9 @@ from ..model import U32_MAX
 FORMATS = ["tsv", "bifrost", "fulgor", "metagraph", "themisto", "sam"]
 #: Formats whose first line names the targets, and the fields before those names.
 HEADERS = {"bifrost": ["query_name"], "tsv": ["query_index", "query_name"]}
+#: What parts the fields of a line, if not a tab, and how many fields a line has at least, if not one.
+SEPARATORS = {"themisto": " "}
+LEAST_FIELDS = {"fulgor": 2, "metagraph": 3, "tsv": 2, "sam": 3}
 
 
 def fail(name: str, what: Column | str) -> Column:
@@ -23,32 +26,15 @@ def fail(name: str, what: Column | str) -> Column:
 
 def u32(text: Column) -> Column:
     """Strict parse of an unsigned 32-bit number: digits with at most a plus before them."""
-    digits = F.regexp_replace(text, r"^\+?0*(?=[0-9])", "")
-    fits = text.rlike(r"^\+?[0-9]+$") & (F.length(digits) <= 10)
-    value = F.when(fits, digits).cast("long")
-    return F.when(fits & (value <= U32_MAX), value).otherwise(
+    value = F.when(text.rlike(r"^\+?[0-9]+$"), text.try_cast("long"))
+    return F.when(value <= U32_MAX, value).otherwise(
         fail("CorruptedInputErr", F.concat(F.lit("not a 32-bit number: "), F.coalesce(text, F.lit("nothing")))).cast("long")
     )
 
 
-def _nothing(kind: str) -> Column:
-    return F.lit(None).cast(kind)
-
-
-def _record(query_id=None, query_name=None, ones=None, ones_names=None) -> Column:
-    return F.struct(
-        (_nothing("bigint") if query_id is None else query_id).alias("query_id"),
-        (_nothing("string") if query_name is None else query_name).alias("query_name"),
-        (_nothing("array<bigint>") if ones is None else ones).alias("ones"),
-        (_nothing("array<string>") if ones_names is None else ones_names).alias("ones_names"),
-    )
-
-
-def _rest(parts: Column, skip: int) -> Column:
+def _rest(fields: Column, skip: int) -> Column:
     """What follows the first ``skip`` fields."""
-    return F.when(F.size(parts) > skip, F.slice(parts, F.lit(skip + 1), F.greatest(F.size(parts) - skip, F.lit(1)))).otherwise(
-        F.array().cast("array<string>")
-    )
+    return F.slice(fields, skip + 1, F.greatest(F.size(fields) - skip, F.lit(0)))
 
 
 def _positive(cells: Column) -> Column:
@@ -57,53 +43,62 @@ def _positive(cells: Column) -> Column:
     return F.filter(marked, lambda x: x.isNotNull())
 
 
-def _needs(parts: Column, fields: int, record: Column) -> Column:
-    return F.when(F.size(parts) >= fields, record).otherwise(fail("CorruptedInputErr", f"fewer than {fields} fields").cast(
-        "struct<query_id:bigint,query_name:string,ones:array<bigint>,ones_names:array<string>>"))
+def _themisto(f: Column) -> dict[str, Column]:
+    return {"query_id": u32(f[0]), "ones": F.transform(_rest(f, 1), u32)}
 
 
-def parse_themisto(value: Column) -> Column:
-    parts = F.split(value, " ", -1)
-    return _record(query_id=u32(parts[0]), ones=F.transform(_rest(parts, 1), u32))
+def _fulgor(f: Column) -> dict[str, Column]:
+    # the count in the second field is not used
+    return {"query_name": f[0], "ones": F.transform(_rest(f, 2), u32)}
 
 
-def parse_fulgor(value: Column) -> Column:
-    """The count in the second field is not used."""
-    parts = F.split(value, "\t", -1)
-    return _needs(parts, 2, _record(query_name=parts[0], ones=F.transform(_rest(parts, 2), u32)))
+def _no_header(first: Column, fmt: str, value: Column, kind: str) -> Column:
+    return F.when(first == HEADERS[fmt][0], fail("HeaderNotConsumedError", fmt).cast(kind)).otherwise(value)
 
 
-def parse_bifrost(value: Column) -> Column:
-    parts = F.split(value, "\t", -1)
-    name = F.when(parts[0] == "query_name", fail("HeaderNotConsumedError", "bifrost").cast("string")).otherwise(parts[0])
-    return _record(query_name=name, ones=_positive(_rest(parts, 1)))
+def _bifrost(f: Column) -> dict[str, Column]:
+    return {"query_name": _no_header(f[0], "bifrost", f[0], "string"), "ones": _positive(_rest(f, 1))}
 
 
-def parse_metagraph(value: Column) -> Column:
-    parts = F.split(value, "\t", -1)
-    names = F.filter(F.split(parts[2], ":", -1), lambda x: x != "")
-    return _needs(parts, 3, _record(query_id=u32(parts[0]), query_name=parts[1], ones_names=names))
+def _metagraph(f: Column) -> dict[str, Column]:
+    names = F.filter(F.split(f[2], ":", -1), lambda x: x != "")
+    return {"query_id": u32(f[0]), "query_name": f[1], "ones_names": names}
 
 
-def parse_tsv(value: Column) -> Column:
-    parts = F.split(value, "\t", -1)
-    index = F.when(parts[0] == "query_index", fail("HeaderNotConsumedError", "tsv").cast("bigint")).otherwise(u32(parts[0]))
-    return _needs(parts, 2, _record(query_id=index, query_name=parts[1], ones=_positive(_rest(parts, 2))))
+def _tsv(f: Column) -> dict[str, Column]:
+    return {"query_id": _no_header(f[0], "tsv", u32(f[0]), "bigint"), "query_name": f[1], "ones": _positive(_rest(f, 2))}
 
 
-def parse_sam(value: Column) -> Column:
+def _sam(f: Column) -> dict[str, Column]:
     """One record a line; reads that the flag calls unmapped say nothing about targets."""
-    parts = F.split(value, "\t", -1)
-    unmapped = u32(parts[1]).bitwiseAND(F.lit(4)) != 0
-    target = F.when(parts[2] == "*", fail("CorruptedInputErr", "a mapped read without a reference").cast("string")).otherwise(parts[2])
-    names = F.when(unmapped, _nothing("array<string>")).otherwise(F.array(target))
-    return _needs(parts, 3, _record(query_name=parts[0], ones_names=names))
+    mapped = u32(f[1]).bitwiseAND(F.lit(4)) == 0
+    target = F.when(f[2] == "*", fail("CorruptedInputErr", "a mapped read without a reference").cast("string")).otherwise(f[2])
+    return {"query_name": f[0], "ones_names": F.when(mapped, F.array(target))}
 
 
-PARSERS = {
-    "themisto": parse_themisto, "fulgor": parse_fulgor, "bifrost": parse_bifrost,
-    "metagraph": parse_metagraph, "tsv": parse_tsv, "sam": parse_sam,
-}
+_RECORDS = {"themisto": _themisto, "fulgor": _fulgor, "bifrost": _bifrost, "metagraph": _metagraph, "tsv": _tsv, "sam": _sam}
+_KINDS = {"query_id": "bigint", "query_name": "string", "ones": "array<bigint>", "ones_names": "array<string>"}
+
+
+def parse(rows: DataFrame, fmt: str, value: Column | str = "value", keep: list[str] | None = None) -> DataFrame:
+    """Records of lines: query_id, query_name, ones and ones_names, and the columns to ``keep``.
+
+    Fields a format does not have are null.  A malformed line stops the query when a column that
+    reads the malformed part is used.
+    """
+    kept = [F.col(c) for c in keep or []]
+    line = F.col(value) if isinstance(value, str) else value
+    least = LEAST_FIELDS.get(fmt, 1)
+    split = rows.select(F.split(line, SEPARATORS.get(fmt, "\t"), -1).alias("__fields"), *kept)
+    fields = F.col("__fields")
+    found = _RECORDS[fmt](fields)
+    columns = []
+    for name, kind in _KINDS.items():
+        column = found.get(name, F.lit(None)).cast(kind)
+        if name in found and least > 1:
+            column = F.when(F.size(fields) >= least, column).otherwise(fail("CorruptedInputErr", f"fewer than {least} fields").cast(kind))
+        columns.append(column.alias(name))
+    return split.select(*columns, *kept)
 
 
 def _must(column: Column, field: str, kind: str) -> Column:
@@ -111,11 +106,19 @@ def _must(column: Column, field: str, kind: str) -> Column:
 
 
 def _cells(ones: Column, n_targets: Column | int) -> Column:
-    """Zeros and ones of all targets."""
-    n = n_targets if isinstance(n_targets, Column) else F.lit(n_targets)
-    places = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).otherwise(
-        fail("NeedTargetSequences", "a wide format needs targets").cast("array<bigint>"))
-    return F.array_join(F.transform(places, lambda i: F.when(F.array_contains(ones, i), "1").otherwise("0")), "\t")
+    """Zeros and ones of all targets: stretches of zeros between the ones, so that the cost is that
+    of the text written."""
+    n = (n_targets if isinstance(n_targets, Column) else F.lit(n_targets)).cast("bigint")
+    inside = F.array_sort(F.array_distinct(F.filter(ones, lambda x: (x >= 0) & (x < n))))
+    before = F.concat(F.array(F.lit(-1).cast("bigint")), inside)
+
+    def stretch(one: Column, last: Column) -> Column:
+        zeros = F.repeat(F.lit("0\t"), (F.coalesce(one, n) - last - 1).cast("int"))
+        return F.when(one.isNull(), zeros).otherwise(F.concat(zeros, F.lit("1\t")))
+
+    text = F.array_join(F.zip_with(inside, before, stretch), "")
+    return F.when(n > 0, F.substr(text, F.lit(1), (2 * n - 1).cast("int"))).otherwise(
+        fail("NeedTargetSequences", "a wide format needs targets").cast("string"))
 
 
 def render(fmt: str, n_targets: Column | int = 0) -> Column:

@@ -38,15 +38,13 @@ def pad(records: DataFrame, queries: DataFrame) -> DataFrame:
     return joined.withColumn("ones", F.coalesce("ones", F.array().cast("array<bigint>")))
 
 
-def collapse(records: DataFrame) -> DataFrame:
-    """Several records of a query as one; null only if none of them says anything."""
+def collapse(records: DataFrame, place: str | None = None) -> DataFrame:
+    """Several records of a query as one; null only if none of them says anything.  ``place``: a
+    column of which the least value is kept."""
     said = F.col("ones").isNotNull()
+    first = [F.min(place).alias(place)] if place else []
     return records.groupBy("query_id").agg(
         F.max("query_name").alias("query_name"),
         F.when(F.max(said.cast("int")) == 1, F.array_sort(F.array_distinct(F.flatten(F.collect_list("ones"))))).alias("ones"),
+        *first,
     )
-
-
-def decode_order(records: DataFrame, block: str = "block_id") -> DataFrame:
-    """Records as a container gives them: by block, aligned ones first, each by id."""
-    return records.orderBy(block, F.size("ones") == 0, "query_id")

@@ -8,11 +8,22 @@ from pyspark.sql import functions as F
 from ..errors import NeedQueryNamesErr
 from ..functions.text_formats import fail
 from ..model import Alignment
+from ..workspace import materialize
 
 #: Dictionaries of at most so many bytes are sent to every task; larger ones are joined by shuffle.
 BROADCAST_BYTES = 64 << 20
 
 
+def _facts(table: DataFrame):
+    """Of a dictionary: bytes, rows, and the least and greatest value of a numeric first column."""
+    sizes = [F.octet_length(c) if t == "string" else F.lit(8) for c, t in table.dtypes]
+    first = F.col(table.columns[0])
+    return table.agg(
+        F.coalesce(F.sum(sum(sizes[1:], sizes[0]) + 32), F.lit(0)).alias("bytes"), F.count("*").alias("n"),
+        F.count_distinct(first).alias("distinct"), F.min(first).alias("least"), F.max(first).alias("most"),
+    ).first()
+
+
 def small(table: DataFrame) -> bool:
     """Whether a dictionary's measured size (names and ids) allows a broadcast."""
     sizes = [F.octet_length(c) if t == "string" else F.lit(8) for c, t in table.dtypes]
@@ -58,31 +69,34 @@ def fill_query_names(a: Alignment, fallback: bool = False) -> Alignment:
 def _map_targets(a: Alignment, have: str, want: str, key: str, value: str, error: str) -> Alignment:
     """Turn arrays of target ids into names or back, in order.
 
-    Ids are places, so names of a dictionary of checked size are read from one array.  Otherwise
-    entries are exploded, joined with the dictionary and gathered again by record, which keeps
-    nulls, empty arrays, repeated entries and order.
+    If the ids of a dictionary of checked size are 0, 1, 2 and so on, they are places in one array
+    of names.  Otherwise entries are exploded, joined with the dictionary and gathered again by the
+    number of their record, which keeps nulls, empty arrays, repeated entries and order; numbered
+    records are written first, so that a lost executor cannot number them anew.
     """
     table = a.targets.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
     kind = a.targets.schema[value].dataType
     missing = fail(error, F.col("__k").cast("string")).cast(kind)
-    if key == "target_id" and small(a.targets):
-        names = a.targets.agg(F.array_sort(F.collect_list(F.struct("target_id", "target_name"))).alias("l")).select("l.target_name")
-        out = a.records.withColumn("__names", names.scalar())
-
-        def entry(x):
-            return F.coalesce(F.get("__names", x.cast("int")), fail(error, x.cast("string")).cast(kind))
-
-        return a.with_records(out.withColumn(want, F.coalesce(F.col(want), F.transform(F.col(have), entry))).drop("__names"))
+    if key == "target_id":
+        facts = _facts(a.targets.select("target_id", "target_name"))
+        dense = facts["n"] == 0 or (facts["distinct"] == facts["n"] and facts["least"] == 0 and facts["most"] == facts["n"] - 1)
+        if dense and facts["bytes"] <= BROADCAST_BYTES:
+            names = a.targets.agg(F.array_sort(F.collect_list(F.struct("target_id", "target_name"))).alias("l")).select("l.target_name")
+            out = a.records.withColumn("__names", names.scalar())
+
+            def entry(x):
+                inside = (x >= 0) & (x < F.lit(facts["n"]))
+                return F.when(inside, F.get("__names", x.cast("int"))).otherwise(fail(error, x.cast("string")).cast(kind))
+
+            return a.with_records(out.withColumn(want, F.coalesce(F.col(want), F.transform(F.col(have), entry))).drop("__names"))
     kept = a.records.columns
-    rows = a.records.withColumn("__row", F.monotonically_increasing_id())
+    rows = materialize(a.records.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     todo = F.when(F.col(want).isNull(), F.col(have))
-    rows = rows.select("*", F.posexplode_outer(todo).alias("__pos", "__k"))
-    rows = rows.join(_sized(table), "__k", "left")
-    rows = rows.withColumn("__v", F.when(F.col("__k").isNotNull(), F.coalesce("__v", missing)))
-    got = F.array_sort(F.collect_list(F.when(F.col("__pos").isNotNull(), F.struct("__pos", "__v"))))
-    rows = rows.groupBy("__row", *kept).agg(got.alias("__list"))
-    filled = F.when(F.col(have).isNotNull(), F.col("__list.__v"))
-    return a.with_records(rows.withColumn(want, F.coalesce(F.col(want), filled)).select(kept))
+    entries = rows.select("__row", F.posexplode(todo).alias("__pos", "__k")).join(_sized(table), "__k", "left")
+    entries = entries.select("__row", F.struct("__pos", F.coalesce("__v", missing).alias("__v")).alias("__e"))
+    lists = entries.groupBy("__row").agg(F.array_sort(F.collect_list("__e")).alias("__l"))
+    filled = F.when(F.col(have).isNotNull(), F.coalesce(F.col("__l.__v"), F.array().cast(rows.schema[want].dataType)))
+    return a.with_records(rows.join(lists, "__row", "left").withColumn(want, F.coalesce(F.col(want), filled)).select(kept))
 
 
 def fill_target_names(a: Alignment) -> Alignment:

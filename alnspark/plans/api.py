@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import NeedQueryNamesErr
+from ..errors import DuplicatedQueriesErr, NeedQueryNamesErr
 from ..functions.text_formats import SHOWN
 from ..model import Alignment
 from ..operators import concat, matrix, resolve, set_ops
 from ..sources import container, layout
-from ..sources.text import read_alignment, write_text
+from ..sources.text import read_alignment, target_table, write_text
+from ..workspace import materialize
 
 #: Formats whose lines name queries but do not number them.
 UNNUMBERED = ("fulgor", "bifrost", "sam")
@@ -20,54 +21,42 @@ UNNUMBERED = ("fulgor", "bifrost", "sam")
 
 def prepare(a: Alignment, unmapped: str = "empty") -> Alignment:
     """One record a query with ids and ones filled, as a container needs it."""
-    records = a.records
+    a = a.with_records(materialize(a.records, "parsed"))
     if a.queries is not None:
         a = resolve.fill_query_names(resolve.fill_query_ids(a))
-    elif not records.filter("query_id IS NULL").isEmpty():
+    elif not a.records.filter("query_id IS NULL").isEmpty():
         raise NeedQueryNamesErr("named queries need the query list")
     a = resolve.fill_target_ids(a)
     if unmapped == "error":
         said = F.when(F.col("ones").isNull(), F.raise_error("FieldMissing: ones").cast("array<bigint>")).otherwise(F.col("ones"))
         a = a.with_records(a.records.withColumn("ones", said))
     # many rows of a query (as SAM has) become one; the first place in the input counts
-    places = a.records.groupBy("query_id").agg(F.min("row_idx").alias("row_idx")) if "row_idx" in a.records.columns else None
-    merged = matrix.collapse(a.records)
-    if places is not None:
-        merged = merged.join(places, "query_id")
+    merged = materialize(matrix.collapse(a.records, "row_idx" if "row_idx" in a.records.columns else None), "prepared")
     return a.with_records(merged.withColumn("ones_names", F.lit(None).cast("array<string>")))
 
 
 def encode(
     spark: SparkSession, source: str, path: str, targets: DataFrame | None = None, queries: DataFrame | None = None, sample: str = "",
     format: str | None = None, rename: bool = False, strip_names: bool = False, block_size: int | None = None,
-    compression: int = layout.GZIP, unmapped: str = "empty", trim_trailing: bool = False,
+    compression: int = layout.GZIP, unmapped: str = "empty", trim_trailing: bool = False, by: str = "row_idx", folder: bool = False,
 ) -> None:
-    """Text to container."""
+    """Text to container, with blocks in input order (``by="query_id"``: by ranges of ids)."""
     a = prepare(read_alignment(spark, source, format, targets, queries, sample, trim_trailing), unmapped)
     if rename:
         a = a.with_records(resolve.rename_queries(a.records, sample))
     named = not strip_names and (rename or a.records.filter("query_name IS NULL").isEmpty())
-    write_container(a, path, block_size=block_size, compression=compression, names=named)
-
-
-def write_container(a: Alignment, path: str, **options) -> None:
-    container.write_container(a, path, **options)
+    container.write_container(a, path, block_size=block_size, compression=compression, names=named, by=by, folder=folder)
 
 
 def decode(spark: SparkSession, source: str, path: str, format: str = "tsv") -> None:
     """Container to text, in the order of its blocks."""
+    if format not in SHOWN:
+        raise NotImplementedError("SAM records can be read, not written")
     a = container.read_container(spark, source)
-    order = F.struct("block_id", (F.size("ones") == 0).alias("empty"), "query_id")
-    a = a.with_records(a.records.withColumn("row_idx", order))
-    a = resolve.fill(a, SHOWN[format], fallback=True)
-    write_ordered(a, format, path)
-
-
-def write_ordered(a: Alignment, format: str, path: str) -> None:
-    """Write with any sortable ``row_idx``."""
-    from ..model import dense_rank_by
-
-    write_text(a.with_records(dense_rank_by(a.records.withColumnRenamed("row_idx", "__key"), "__key", "row_idx")), format, path)
+    # the order is kept apart, as fields that the format does not show are emptied
+    place = F.struct(*container.DECODE_ORDER).alias("place")
+    ordered = container.decode_order(a.records).select("*", place).drop("block_id", "no_hits")
+    write_text(resolve.fill(Alignment(ordered, a.targets, None, a.sample), SHOWN[format], fallback=True), format, path, ["place"])
 
 
 def convert(
@@ -85,22 +74,22 @@ def converted(a: Alignment, to: str) -> Alignment:
     return resolve.fill(a, SHOWN[to])
 
 
-def cat(spark: SparkSession, sources: list[str], path: str, compression: int = layout.GZIP) -> None:
-    """Containers with the same targets and no common query, as one."""
-    read = [container.read_container(spark, s) for s in sources]
-    heads = [container.read_head(s)[0] for s in sources]
-    if len({h.fields_present for h in heads}) > 1:
-        from ..errors import IncompatibleFileHeadersErr
+def cat(spark: SparkSession, sources: list[str], path: str, compression: int = layout.GZIP, folder: bool = False) -> None:
+    """Containers with the same targets and no common query, as one: blocks are copied as they are."""
+    ids = [container.read_view(spark, s, "queries") for s in sources]
+    if not concat.duplicates(reduce(DataFrame.unionByName, ids)).isEmpty():
+        raise DuplicatedQueriesErr("a query occurs more than once")
+    container.append(spark, sources, path, compression, folder)
 
-        raise IncompatibleFileHeadersErr("inputs hold different fields")
-    write_container(concat.concatenate(read), path, compression=compression, names=bool(heads[0].fields_present & layout.HAS_NAMES))
 
-
-def merge(spark: SparkSession, sources: list[str], path: str, operation: str, sample: str = "", universe: str = "first") -> None:
+def merge(
+    spark: SparkSession, sources: list[str], path: str, operation: str, sample: str = "", universe: str = "first", folder: bool = False
+) -> None:
     """A set operation over containers; header, targets, names and universe come from the first."""
-    first = container.read_container(spark, sources[0])
+    head, own, targets, _ = container.read_head(sources[0])
     inputs = [container.read_view(spark, s, "edges") for s in sources]
-    records = set_ops.combine_records(inputs, operation, first.queries, universe)
-    named = bool(container.read_head(sources[0])[0].fields_present & layout.HAS_NAMES)
-    out = replace(first, records=records, sample=sample or first.sample)
-    write_container(out, path, names=named)
+    records = set_ops.combine_records(inputs, operation, container.read_queries(spark, sources[0]), universe)
+    if universe == "all":
+        records = records.withColumn("query_name", F.coalesce("query_name", F.concat(F.lit(own + "."), F.col("query_id") + 1)))
+    out = Alignment(records, target_table(spark, targets), None, sample or own)
+    container.write_container(out, path, names=bool(head.fields_present & layout.HAS_NAMES), folder=folder)

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.sniff import sniff_column
-from .functions.text_formats import PARSERS, render
-from .model import Alignment, dictionary
+from .functions.text_formats import header_lines, parse, render
+from .errors import AlignmentError
+from .model import Alignment, dense_rank_by, dictionary
 from .operators import concat, matrix, resolve, set_ops
-from .plans import api
-from .sources import container
-from .streaming.text import read_stream
+from .plans import api, cli
+from .sources import container, text
+from .streaming.text import read_stream, render_stream, unique_edges
 from .workspace import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,7 +107,7 @@ def unflatten_records(spark, sf_dir):
 
 @register("hit_counts", f"select q as query_id, count(*) as hits from {EDGES} e group by q")
 def hit_counts(spark, sf_dir):
-    return matrix.regroup(sup_edges(spark, sf_dir)).select("query_id", F.size("ones").cast("long").alias("hits"))
+    return sup_edges(spark, sf_dir).groupBy("query_id").agg(F.count_distinct("target_id").alias("hits"))
 
 
 PADDED = "select cast(o_orderkey as bigint) as query_id, {name} as query_name, {ones} as ones from orders left join {edges} e on q = o_orderkey group by o_orderkey"
@@ -180,7 +181,7 @@ def _formats() -> None:
 
         def roundtrip(spark, sf_dir, fmt=fmt):
             a = evt(spark, sf_dir) if fmt in ("bifrost", "tsv") else sup(spark, sf_dir)
-            records = _rendered(spark, sf_dir, fmt).select(PARSERS[fmt](F.col("value")).alias("r")).select("r.*")
+            records = parse(_rendered(spark, sf_dir, fmt), fmt)
             back = resolve.fill(Alignment(records, a.targets, a.queries), ["query_id", "ones"])
             return matrix.edges(back.records)
 
@@ -196,7 +197,7 @@ def _conversions() -> None:
         base = evt(spark, sf_dir) if a in ("bifrost", "tsv") or b in ("bifrost", "tsv") else sup(spark, sf_dir)
         own = resolve.fill_target_names(base) if a == "metagraph" else base
         n = base.targets.count()
-        records = own.records.select(render(a, n).alias("value")).select(PARSERS[a](F.col("value")).alias("r")).select("r.*")
+        records = parse(own.records.select(render(a, n).alias("value")), a)
         out = api.converted(Alignment(records, base.targets, base.queries), b)
         return out.records.select(render(b, n).alias("value"))
 
@@ -240,16 +241,15 @@ def kmer_threshold(spark, sf_dir):
     names = a.targets.agg(F.array_sort(F.collect_list("target_name")).alias("l"))
     line = F.concat_ws("\t", F.concat(F.lit("user."), F.col("query_id") + 1),
                        F.array_join(F.transform(F.col("l"), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("string")), "\t"))
-    parsed = per_user.withColumn("l", names.scalar()).select("query_id", PARSERS["bifrost"](line).alias("r"), F.size("l").alias("n"))
-    cells = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1),
-                                     lambda i: F.when(F.array_contains("r.ones", i), "1").otherwise("0")), "\t")
-    return parsed.select("query_id", cells.alias("cells"))
+    rows = per_user.withColumn("l", names.scalar()).select("query_id", line.alias("value"), F.size("l").alias("n"))
+    parsed = parse(rows.withColumnRenamed("query_id", "user"), "bifrost", keep=["user", "n"])
+    cells = render("bifrost", F.col("n")).alias("line")
+    shown_cells = F.expr("substring(line, length(query_name) + 2)").alias("cells")
+    return parsed.select(F.col("user").alias("query_id"), "query_name", cells).select("query_id", shown_cells)
 
 
 @register("rename_queries", "select cast(o_orderkey as bigint) as query_id, 'S' || cast(row_number() over (order by o_orderkey) as varchar) as query_name from orders")
 def rename_queries(spark, sf_dir):
-    from .model import dense_rank_by
-
     rows = dense_rank_by(sup_queries(spark, sf_dir).withColumn("place", F.col("query_id")), "place", "row_idx")
     return resolve.rename_queries(rows, "S").select("query_id", "query_name")
 
@@ -293,7 +293,7 @@ def parse_sam(spark, sf_dir):
     lost = F.col("l_returnflag") == "R"
     line = F.concat_ws("\t", F.concat(F.lit("order."), F.col("l_orderkey") + 1), F.when(lost, "4").otherwise("16"),
                        F.when(lost, "*").otherwise(F.col("s_name")), F.lit("1"))
-    parsed = rows.select(PARSERS["sam"](line).alias("r")).select("r.*")
+    parsed = parse(rows, "sam", line)
     return parsed.select("query_name", F.explode_outer("ones_names").alias("target_name"))
 
 
@@ -357,3 +357,283 @@ def stream_parse(spark, sf_dir):
     query = pairs.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out)
+
+
+# Queries over files: texts rendered from the tables are written out and go through the public functions.
+
+
+class Files:
+    """SUP as files in the shared folder: lines of a format in order of the ids, names of targets and
+    reads, and what is made of them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def path(self, name: str) -> str:
+        return shared_path(self.spark, name)
+
+    def write(self, rows: DataFrame, name: str, head: list[str] | None = None) -> str:
+        """Rows (place, value) as a folder of parts in order, after the lines of ``head``."""
+        path = self.path(name)
+        if head:
+            first = self.spark.createDataFrame([(i - len(head), x) for i, x in enumerate(head)], "place long, value string")
+            rows = first.unionByName(rows)
+        rows.repartitionByRange("place").sortWithinPartitions("place").select("value").write.text(path)
+        return path
+
+    def lines(self, fmt: str, flag: str | None = None, odd: int | None = None) -> str:
+        a = sup(self.spark, self.sf_dir, flag)
+        a = resolve.fill_target_names(a) if fmt == "metagraph" else a
+        rows = a.records if odd is None else a.records.filter(F.col("query_id") % 2 == odd)
+        names = [r["target_name"] for r in a.targets.orderBy("target_id").collect()] if fmt in text.HEADERS else []
+        return self.write(rows.select(F.col("query_id").alias("place"), render(fmt, a.targets.count()).alias("value")), fmt, header_lines(fmt, names))
+
+    def targets(self) -> str:
+        return self.write(sup_targets(self.spark, self.sf_dir).toDF("place", "value"), "targets")
+
+    def fasta(self) -> str:
+        rows = sup_queries(self.spark, self.sf_dir).select(
+            F.col("query_id").alias("place"), F.concat(F.lit(">"), "query_name", F.lit(" of a table\nACGT\nAC")).alias("value"))
+        return self.write(rows, "reads")
+
+    def fastq(self) -> str:
+        rows = sup_queries(self.spark, self.sf_dir).select(
+            F.col("query_id").alias("place"), F.concat(F.lit("@"), "query_name", F.lit(" x\nACGT\n+\n@@@@")).alias("value"))
+        return self.write(rows, "reads")
+
+    def run(self, *args: str) -> None:
+        cli.main(list(args), self.spark)
+
+    def encoded(self, fmt: str, *args: str, **which) -> str:
+        out = self.path("encoded")
+        self.run("encode", self.lines(fmt, **which), "-o", out, "-q", self.fasta(), "-t", self.targets(), "--sample", "S", *args)
+        return out
+
+    def decoded(self, source: str, fmt: str) -> DataFrame:
+        out = self.path("decoded")
+        self.run("decode", source, "-o", out, "-F", fmt)
+        return self.spark.read.text(out)
+
+
+def _files() -> None:
+    for fmt, to in (("themisto", "metagraph"), ("fulgor", "themisto"), ("metagraph", "fulgor")):
+        def encode_decode(spark, sf_dir, fmt=fmt, to=to):
+            files = Files(spark, sf_dir)
+            return files.decoded(files.encoded(fmt), to)
+
+        def convert(spark, sf_dir, fmt=fmt, to=to):
+            files, out = Files(spark, sf_dir), shared_path(spark, "converted")
+            files.run("convert", files.lines(fmt), "-o", out, "-q", files.fasta(), "-t", files.targets(), "-F", to)
+            return spark.read.text(out)
+
+        register(f"file_encode_{fmt}_decode_{to}", LINES[to])(encode_decode)
+        register(f"file_convert_{fmt}_to_{to}", LINES[to])(convert)
+    for op in ("intersection", "xor"):
+        def command(spark, sf_dir, op=op):
+            files, out = Files(spark, sf_dir), shared_path(spark, "set")
+            files.run("set", op, *[files.encoded("themisto", flag=flag) for flag in "ANR"], "-o", out, "--folder")
+            return files.decoded(out, "themisto")
+
+        found = LINES["themisto"].replace(EDGES, ORACLE_SQL[f"set_{op}_3"].join("()").replace("query_id", "q").replace("target_id", "t"))
+        register(f"cli_set_{op}", found)(command)
+
+
+_files()
+
+
+@register("file_names", "select cast(o_orderkey as bigint) as query_id, " + NAME + " as query_name from orders")
+def file_names(spark, sf_dir):
+    """A list of names in which every name stands twice and the order is not that of the alphabet."""
+    rows = sup_queries(spark, sf_dir).select(F.col("query_id").alias("place"), F.concat("query_name", F.lit("\n"), "query_name").alias("value"))
+    return text.read_names(spark, Files(spark, sf_dir).write(rows, "names"), "query")
+
+
+for _kind in ("fasta", "fastq"):
+    register(f"file_{_kind}", ORACLE_SQL["file_names"])(
+        lambda spark, sf_dir, kind=_kind: text.read_fastx_names(spark, getattr(Files(spark, sf_dir), kind)()))
+
+
+@register("file_header_targets", "select f as format, cast(s_suppkey as bigint) as target_id, s_name as target_name "
+          "from supplier cross join (values ('bifrost'), ('tsv'), ('sam')) v(f)")
+def file_header_targets(spark, sf_dir):
+    """Target names from the headers of the formats that have them; the format is told by the first line."""
+    files, found = Files(spark, sf_dir), []
+    names = [r["target_name"] for r in sup_targets(spark, sf_dir).orderBy("target_id").collect()]
+    lines = {"bifrost": "r", "tsv": "0\tr", "sam": "r\t4\t*"}
+    for fmt, line in lines.items():
+        row = spark.createDataFrame([(0, line)], "place long, value string")
+        a = text.read_alignment(spark, files.write(row, fmt, header_lines(fmt, names)))
+        found.append(a.targets.select(F.lit(fmt).alias("format"), "target_id", "target_name"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@register("file_wide_lines", f"select case when l like 'query%' then 'head' else 'line' end as kind, l as value from (select name || chr(9) || cells as l from {CELLS} c "
+          f"union all select 'query_name' || chr(9) || string_agg(k, chr(9) order by t) from {TYPES} y) x")
+def file_wide_lines(spark, sf_dir):
+    """Wide lines written with their header and read as a file."""
+    out = shared_path(spark, "wide")
+    text.write_text(evt(spark, sf_dir), "bifrost", out)
+    rows = spark.read.text(out)
+    return rows.select(F.when(F.col("value").startswith("query_name\t"), "head").otherwise("line").alias("kind"), "value")
+
+
+SAM_EDGES = EDGES.replace("from lineitem", "from lineitem where l_returnflag <> 'R'")
+
+
+@register("file_sam_to_fulgor", LINES["fulgor"].replace(EDGES, SAM_EDGES).replace("from orders left join", "from (select * from orders where o_orderkey in (select l_orderkey from lineitem)) o left join"))
+def file_sam_to_fulgor(spark, sf_dir):
+    """SAM lines, one for each line item, unmapped where it was returned, through a container."""
+    files = Files(spark, sf_dir)
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    lost = F.col("l_returnflag") == "R"
+    line = F.concat_ws("\t", F.concat(F.lit("order."), F.col("l_orderkey") + 1), F.when(lost, "77").otherwise("2064"),
+                       F.when(lost, "*").otherwise(F.col("s_name")), F.lit("1"))
+    names = [r["target_name"] for r in sup_targets(spark, sf_dir).orderBy("target_id").collect()]
+    source = files.write(rows.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), line.alias("value")), "sam", header_lines("sam", names))
+    out = files.path("encoded")
+    files.run("encode", source, "-o", out, "-q", files.fasta())
+    return files.decoded(out, "fulgor")
+
+
+@register("file_cat", LINES["metagraph"])
+def file_cat(spark, sf_dir):
+    """Two halves, with differently compressed flags, joined by copying their blocks."""
+    files, out = Files(spark, sf_dir), shared_path(spark, "cat")
+    files.run("cat", files.encoded("themisto", odd=0), files.encoded("themisto", "--plain-metadata", "--folder", odd=1), "-o", out)
+    return files.decoded(out, "metagraph")
+
+
+@register("file_decode_order", f"""select row_number() over (order by cast(o_orderkey as bigint) // 1000, n = 0, o_orderkey) - 1 as place, cast(o_orderkey as bigint) as query_id
+    from (select o_orderkey, count(t) as n from orders left join {EDGES} e on q = o_orderkey group by o_orderkey) x""")
+def file_decode_order(spark, sf_dir):
+    """Places of the lines of a decoded container: by block, queries with hits first."""
+    files, out = Files(spark, sf_dir), shared_path(spark, "decoded")
+    files.run("decode", files.encoded("themisto", "--block-size", "1000"), "-o", out, "-F", "themisto")
+    rows = text.with_row_index(text.lines(spark, out))
+    return rows.select(F.col("row_idx").alias("place"), F.substring_index("value", " ", 1).cast("long").alias("query_id"))
+
+
+@register("encode_input_order", """select p // 1000 as block_id, count(*) as num_records, min(q) as first_id, max(q) as last_id from (
+    select cast(o_orderkey as bigint) q, row_number() over (order by o_orderkey % 7, o_orderkey) - 1 as p from orders) x group by 1""")
+def encode_input_order(spark, sf_dir):
+    """Blocks follow the input, whose ids are dealt out by their remainder."""
+    files, out = Files(spark, sf_dir), shared_path(spark, "encoded")
+    a = sup(spark, sf_dir)
+    place = (F.col("query_id") % 7) * (1 << 40) + F.col("query_id")
+    source = files.write(a.records.select(place.alias("place"), render("themisto").alias("value")), "lines")
+    files.run("encode", source, "-o", out, "-t", files.targets(), "--sample", "S", "--block-size", "1000")
+    return container.read_view(spark, out, "index").select("block_id", "num_records", "first_id", "last_id")
+
+
+@register("file_rename", """select cast(o_orderkey as bigint) as query_id,
+    'S' || cast(row_number() over (order by o_orderkey % 7, o_orderkey) as varchar) as query_name from orders""")
+def file_rename(spark, sf_dir):
+    """Names by the place of the line in the input, read back from the flags."""
+    files, out = Files(spark, sf_dir), shared_path(spark, "encoded")
+    a = sup(spark, sf_dir)
+    place = (F.col("query_id") % 7) * (1 << 40) + F.col("query_id")
+    source = files.write(a.records.select(place.alias("place"), render("themisto").alias("value")), "lines")
+    files.run("encode", source, "-o", out, "-t", files.targets(), "--sample", "S", "--rename")
+    return container.read_queries(spark, out)
+
+
+@register("container_strip_names", "select cast(o_orderkey as bigint) as query_id, 'S.' || cast(o_orderkey + 1 as varchar) as query_name from orders")
+def container_strip_names(spark, sf_dir):
+    files = Files(spark, sf_dir)
+    return container.read_queries(spark, files.encoded("themisto", "--strip-names"))
+
+
+@register("container_info", """select (select count(*) from supplier) as n_targets, (select count(*) from orders) as n_queries,
+    cast(700 as bigint) as block_size, cast(3 as bigint) as fields_present, 'S' as sample, s_name as last_target from supplier order by s_suppkey desc limit 1""")
+def container_info(spark, sf_dir):
+    files = Files(spark, sf_dir)
+    got = container.info(files.encoded("themisto", "--block-size", "700"))
+    row = (got["n_targets"], got["n_queries"], got["block_size"], got["fields_present"], got["sample"], got["targets"][-1])
+    return spark.createDataFrame([row], "n_targets long, n_queries long, block_size long, fields_present long, sample string, last_target string")
+
+
+@register("errors", """select * from (values ('unknown query name', 'KeyNotFound'), ('unknown query id', 'IndexNotFound'), ('unknown target name', 'KeyNotFound'),
+    ('target id too large', 'IndexNotFound'), ('no query list', 'NeedQueryNamesErr'), ('no target list', 'NeedTargetSequences'),
+    ('same query twice', 'DuplicatedQueriesErr'), ('other targets', 'IncompatibleFileHeadersErr'), ('other fields', 'IncompatibleFileHeadersErr'),
+    ('ambiguous line', 'AmbiguousInputFormatErr'), ('unknown line', 'UnrecognizedInputFormatErr'), ('number too large', 'CorruptedInputErr'),
+    ('bits out of order', 'SetBitsNotSorted'), ('no hits said', 'FieldMissing'), ('wide id', 'InvalidConversion')) v(case_name, error)""")
+def errors(spark, sf_dir):
+    """What each kind of bad input stops with."""
+    files = Files(spark, sf_dir)
+    targets, queries = sup_targets(spark, sf_dir), sup_queries(spark, sf_dir)
+    whole = files.encoded("themisto")
+    bare = files.encoded("themisto", "--strip-names")
+    few = files.path("few")
+    container.write_container(Alignment(sup(spark, sf_dir).records, targets.filter("target_id > 0"), None, "S").with_records(
+        spark.createDataFrame([(1 << 31, "x", [])], "query_id long, query_name string, ones array<long>")), few)
+
+    def records(query_id=None, query_name=None, ones=None, ones_names=None):
+        row = (query_id, query_name, ones, ones_names)
+        return Alignment(spark.createDataFrame([row], "query_id long, query_name string, ones array<long>, ones_names array<string>"), targets, queries)
+
+    def lines(line, **options):
+        path = files.write(spark.createDataFrame([(0, line)], "place long, value string"), "bad")
+        return text.read_alignment(spark, path, **options).records.collect()
+
+    huge = 1 << 40
+    cases = {
+        "unknown query name": lambda: resolve.fill_query_ids(records(query_name="nobody")).records.collect(),
+        "unknown query id": lambda: resolve.fill_query_names(records(query_id=huge)).records.collect(),
+        "unknown target name": lambda: resolve.fill_target_ids(records(ones_names=["nothing"])).records.collect(),
+        "target id too large": lambda: resolve.fill_target_names(records(ones=[huge])).records.collect(),
+        "no query list": lambda: resolve.fill_query_ids(Alignment(records(query_name="a").records, targets)),
+        "no target list": lambda: lines("8 1"),
+        "same query twice": lambda: api.cat(spark, [whole, whole], files.path("cat")),
+        "other targets": lambda: api.cat(spark, [whole, few], files.path("cat")),
+        "other fields": lambda: container.append(spark, [whole, bare], files.path("cat")),
+        "ambiguous line": lambda: lines("11301\t0"),
+        "unknown line": lambda: lines("a\tb"),
+        "number too large": lambda: lines("4294967296 1", targets=targets),
+        "bits out of order": lambda: container.encode_bitmap([3, 1]),
+        "no hits said": lambda: api.prepare(records(query_id=0), "error").records.collect(),
+        "wide id": lambda: container.encode_block([0], [huge]),
+    }
+    found = []
+    for name, run in cases.items():
+        try:
+            run()
+            found.append((name, "none"))
+        except AlignmentError as e:
+            found.append((name, type(e).__name__))
+        except Exception as e:  # what executors raise carries the name in its text
+            known = [x for x in ("KeyNotFound", "IndexNotFound", "CorruptedInputErr", "FieldMissing") if f"{x}:" in str(e)]
+            found.append((name, known[0] if known else type(e).__name__))
+    return spark.createDataFrame(found, "case_name string, error string")
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, kind: str) -> DataFrame:
+    out, state = shared_path(spark, "stream-out"), shared_path(spark, "stream-state")
+    query = rows.writeStream.format(kind).option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return getattr(spark.read, kind)(out)
+
+
+@register("stream_convert", LINES["fulgor"].replace("select " + NAME, "select cast(o_orderkey as varchar)"))
+def stream_convert(spark, sf_dir):
+    """One format to another on a stream of files; the id stands for the name."""
+    source = Files(spark, sf_dir).lines("themisto")
+    records = read_stream(spark, source, "themisto").withColumn("query_name", F.col("query_id").cast("string"))
+    return _streamed(spark, render_stream(records, "fulgor"), "text")
+
+
+@register("stream_unique_edges", f"select q as query_id, t as target_id from {EDGES} e")
+def stream_unique_edges(spark, sf_dir):
+    """Distinct pairs of a stream in which every line comes twice."""
+    rows = _rendered(spark, sf_dir, "themisto")
+    source = shared_path(spark, "stream-in")
+    rows.unionAll(rows).write.text(source)
+    return _streamed(spark, unique_edges(read_stream(spark, source, "themisto")), "parquet")
+
+
+@register("sniff_lines", """select f as format, count(*) as n from (select 'themisto' as f from orders union all select 'fulgor' from orders
+    union all select 'metagraph' from orders) x group by f""")
+def sniff_lines(spark, sf_dir):
+    """The format of every rendered line: ids and names tell them apart."""
+    lines = [_rendered(spark, sf_dir, fmt).select(F.concat("value", F.lit("\t" if fmt == "fulgor" else "")).alias("value")) for fmt in ("themisto", "fulgor", "metagraph")]
+    every = lines[0].unionAll(lines[1]).unionAll(lines[2])
+    return every.groupBy(sniff_column(F.col("value")).alias("format")).agg(F.count("*").alias("n"))

@@ -1,34 +1,48 @@
 """The binary container as a Spark data source and a writer.
 
-Reading: the driver walks block headers only; each block is one input partition.  ``view`` says what
-is read, as a Python source cannot be pruned by column: ``records``, ``edges``, or ``index`` (block
-headers and id ranges, without bitmaps).
-
-Writing: blocks are packed on executors and written as parts in block order; joining them into one
-file copies bytes only.
+A container is one file, or a folder with the file header (``head``), one file a block, and a list
+of the blocks in order (``blocks``), which is written last and makes the folder complete.  A folder
+is written and read without any bytes of blocks passing through the driver; :func:`join` makes one
+file of it.
+
+Reading: the driver walks block headers (of a folder, the list); each block is one input partition.
+``view`` says what is read, as a Python source cannot be pruned by column: ``records``, ``edges``,
+``queries`` (ids and names from the flags, without bitmaps) or ``index`` (one row a block).  Bitmaps
+are taken apart 65,536 numbers at a time, so that a dense block is never held as numbers.
+
+Writing: records are shuffled once by block and packed as they stream by.  A block is also cut where
+it would hold more than ``MOST_HITS`` hits, so packing is bounded whatever the number of targets.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
-from ..errors import CorruptedInputErr, HeaderPromiseNotHonoured, QueryNamesNotFilled
-from ..model import Alignment
+from ..errors import CorruptedInputErr, HeaderPromiseNotHonoured, IncompatibleFileHeadersErr, QueryIdsNotFilled, QueryNamesNotFilled, SetBitsNotSorted
+from ..model import Alignment, dense_rank_by
+from ..workspace import materialize
 from . import layout
 from .text import target_table
 
 VIEWS = {
     "records": "query_id long, query_name string, ones array<long>, block_id long",
     "edges": "query_id long, target_id long",
-    "index": "block_id long, offset long, num_records long, bitmap_type int, flags_len long, block_len long, first_id long, last_id long, has_names boolean",
+    "queries": "query_id long, query_name string, block_id long",
+    "index": "block_id long, offset long, num_records long, bitmap_type int, flags_len long, block_len long, first_id long, last_id long, "
+             "has_names boolean, foreign long",
 }
+#: Hits after which a block is cut, and hits of one batch that a reader gives.
+MOST_HITS, BATCH_HITS = 1 << 24, 1 << 20
+CHUNK = 1 << 22
 
 
 def file_system(uri: str):
@@ -40,9 +54,16 @@ def file_system(uri: str):
     return fs.LocalFileSystem(), uri
 
 
+def is_folder(uri: str) -> bool:
+    from pyarrow import fs
+
+    system, path = file_system(uri)
+    return system.get_file_info(path).type == fs.FileType.Directory
+
+
 def read_head(uri: str) -> tuple[layout.FileHeader, str, list[str], int]:
     """File header, sample, target names, and the offset of the first block."""
-    system, path = file_system(uri)
+    system, path = file_system(f"{uri}/head" if is_folder(uri) else uri)
     with system.open_input_file(path) as f:
         head = layout.FileHeader.unpack(f.read_at(layout.FILE_HEADER.size, 0))
         flags = f.read_at(head.flags_len, layout.FILE_HEADER.size)
@@ -51,7 +72,8 @@ def read_head(uri: str) -> tuple[layout.FileHeader, str, list[str], int]:
 
 
 def walk_blocks(uri: str) -> Iterator[tuple[int, layout.BlockHeader]]:
-    """Offset and header of every block, reading headers only; anything after the last is an error."""
+    """Offset and header of every block of a file, reading headers only; anything after the last is
+    an error."""
     _, _, _, at = read_head(uri)
     system, path = file_system(uri)
     with system.open_input_file(path) as f:
@@ -65,18 +87,93 @@ def walk_blocks(uri: str) -> Iterator[tuple[int, layout.BlockHeader]]:
             at += length
 
 
+class BlockAt(InputPartition):
+    """Where a block lies; its ids' range, if the list of a folder says it."""
+
+    def __init__(self, number: int, uri: str, offset: int, length: int, ids: tuple[int, int] | None = None):
+        super().__init__(number)
+        self.number, self.uri, self.offset, self.length, self.ids = number, uri, offset, length, ids
+
+
+def block_list(uri: str) -> Iterator[BlockAt]:
+    """The blocks of a container in order."""
+    if not is_folder(uri):
+        for i, (at, h) in enumerate(walk_blocks(uri)):
+            yield BlockAt(i, uri, at, layout.BLOCK_HEADER.size + h.flags_len + h.block_len)
+        return
+    system, path = file_system(f"{uri}/blocks")
+    with system.open_input_stream(path) as f:
+        for i, line in enumerate(f.read().decode().splitlines()):
+            name, length, first, last = json.loads(line)
+            yield BlockAt(i, f"{uri}/{name}", 0, length, (first, last))
+
+
 def info(uri: str) -> dict:
-    """Metadata of a container."""
+    """Metadata of a container.  Where the header does not count the queries, the blocks do."""
     head, sample, targets, _ = read_head(uri)
-    counted = head.n_queries or sum(b.num_records for _, b in walk_blocks(uri))
+    counted = head.n_queries
+    if not counted:
+        counted = sum(len(ids or []) for _, ids in _all_flags(uri))
     return {"sample": sample, "targets": targets, "n_targets": head.n_targets, "n_queries": counted, "block_size": head.block_size,
             "bitmap_type": head.bitmap_type, "fields_present": head.fields_present, "metadata_compression": head.metadata_compression}
 
 
-class _BlockAt(InputPartition):
-    def __init__(self, number: int, offset: int, length: int):
-        super().__init__(number)
-        self.number, self.offset, self.length = number, offset, length
+def _batch(view: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=[x.split()[0] for x in VIEWS[view].split(", ")])
+
+
+def _longs(values) -> pa.Array:
+    return pa.array(np.asarray(values, np.int64))
+
+
+def _edges(chunks: Iterator[np.ndarray], n_targets: int) -> Iterator[pa.RecordBatch]:
+    for bits in chunks:
+        query, target = np.divmod(bits, n_targets)
+        yield _batch("edges", _longs(query), _longs(target))
+
+
+def _rows(chunks: Iterator[np.ndarray], n_targets: int, ids: np.ndarray, names: list | None, number: int) -> Iterator[pa.RecordBatch]:
+    """Records of a block, by id: its own queries, and those of another block it holds bits of.
+
+    Numbers are gathered up to ``BATCH_HITS`` and given as far as their queries are complete.
+    """
+    done = 0
+
+    def given(query: np.ndarray, target: np.ndarray, upto: int) -> pa.RecordBatch:
+        nonlocal done
+        own = ids[done:upto]
+        every = np.union1d(own, query) if len(query) else own
+        counts = np.searchsorted(query, every, side="right") - np.searchsorted(query, every)
+        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        if names is None:
+            named = pa.nulls(len(every), pa.string())
+        else:
+            place = dict(zip(own.tolist(), names[done:upto], strict=True))
+            named = pa.array([place.get(q) for q in every.tolist()], pa.string())
+        done = upto
+        ones = pa.ListArray.from_arrays(pa.array(offsets), _longs(target))
+        return _batch("records", _longs(every), named, ones, _longs(np.full(len(every), number)))
+
+    held, count = [], 0
+    for bits in chunks:
+        held.append(bits)
+        count += len(bits)
+        if count >= BATCH_HITS:
+            query, target = np.divmod(np.concatenate(held), n_targets)
+            whole = int(np.searchsorted(query, query[-1]))  # the last query may go on
+            if whole:
+                yield given(query[:whole], target[:whole], int(np.searchsorted(ids, query[-1])))
+                held, count = [query[whole:] * n_targets + target[whole:]], len(query) - whole
+    query, target = np.divmod(np.concatenate([np.zeros(0, np.int64), *held]), n_targets)
+    while True:
+        upto = min(done + (1 << 16), len(ids))
+        last = upto == len(ids)
+        cut = len(query) if last else int(np.searchsorted(query, ids[upto]))
+        if upto > done or cut:
+            yield given(query[:cut], target[:cut], upto)
+        if last:
+            return
+        query, target = query[cut:], target[cut:]
 
 
 class ContainerReader(DataSourceReader):
@@ -84,44 +181,44 @@ class ContainerReader(DataSourceReader):
         self.path, self.view, self.query_id = path, view, None
 
     def partitions(self):
-        return [
-            _BlockAt(i, at, layout.BLOCK_HEADER.size + h.flags_len + h.block_len) for i, (at, h) in enumerate(walk_blocks(self.path))
-        ]
+        """One for each block; blocks of a folder whose ids do not reach a wanted one are left out."""
+        wanted = self.query_id
+        return [b for b in block_list(self.path) if wanted is None or b.ids is None or b.ids[0] <= wanted <= b.ids[1]]
 
-    def read(self, partition: _BlockAt) -> Iterator[pa.RecordBatch]:
-        head, _, _, _ = read_head(self.path)
-        system, path = file_system(self.path)
+    def read(self, block: BlockAt) -> Iterator[pa.RecordBatch]:
+        promised, _, _, _ = read_head(self.path)
+        system, path = file_system(block.uri)
         with system.open_input_file(path) as f:
-            if self.view == "index" or self.query_id is not None:
-                own = layout.BlockHeader.unpack(f.read_at(layout.BLOCK_HEADER.size, partition.offset))
-                flags = f.read_at(own.flags_len, partition.offset + layout.BLOCK_HEADER.size)
-                names, ids = layout.read_block_flags(flags, own.metadata_compression)
-                if self.view == "index":
-                    row = [partition.number, partition.offset, own.num_records, own.bitmap_type, own.flags_len, own.block_len,
-                           min(ids or [-1]), max(ids or [-1]), names is not None]
-                    kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 4 + [pa.bool_()]
-                    fields = [x.split()[0] for x in VIEWS["index"].split(", ")]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=fields)
-                    return
-                if self.query_id not in (ids or []):
-                    return
-            block = layout.Block.unpack(f.read_at(partition.length, partition.offset))
-        if block.header.fields_present != head.fields_present:
-            raise HeaderPromiseNotHonoured("a block holds other fields than its file announces")
-        query, target = np.divmod(block.bits, max(head.n_targets, 1))
+            head = layout.BlockHeader.unpack(f.read_at(layout.BLOCK_HEADER.size, block.offset))
+            at = block.offset + layout.BLOCK_HEADER.size
+            names, ids = layout.read_block_flags(f.read_at(head.flags_len, at), head.metadata_compression)
+            have = (layout.HAS_NAMES if names is not None else 0) | (layout.HAS_IDS if ids is not None else 0)
+            if not head.fields_present == have == promised.fields_present:
+                raise HeaderPromiseNotHonoured("a block holds other fields than its headers announce")
+            if self.query_id is not None and self.query_id not in (ids or []):
+                return
+            if self.view == "queries":
+                yield _batch("queries", _longs(ids or []), pa.array(names if names is not None else [None] * len(ids or []), pa.string()),
+                             _longs([block.number] * len(ids or [])))
+                return
+            raw = layout.inflate(f.read_at(head.block_len, at + head.flags_len))
+        n_targets = max(promised.n_targets, 1)
+        chunks = layout.bitmap_chunks(raw, head.bitmap_type)
         if self.view == "edges":
-            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(target, pa.int64())], names=["query_id", "target_id"])
+            yield from _edges(chunks, n_targets)
+            return
+        order = np.argsort(np.asarray(ids or [], np.int64), kind="stable")
+        sorted_ids = np.asarray(ids or [], np.int64)[order]
+        if self.view == "records":
+            own = None if names is None else [names[i] for i in order]
+            yield from _rows(chunks, n_targets, sorted_ids, own, block.number)
             return
-        order = np.argsort(block.ids, kind="stable")
-        ids = np.asarray(block.ids, np.int64)[order]
-        rest = np.setdiff1d(query, ids)  # bits of queries that another block lists
-        ids = np.concatenate([ids, rest])
-        left, right = np.searchsorted(query, ids), np.searchsorted(query, ids, side="right")
-        ones = [target[a:b].tolist() for a, b in zip(left, right, strict=True)]
-        names = [None] * len(ids) if block.names is None else [block.names[i] for i in order] + [None] * len(rest)
-        columns = [pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(ones, pa.list_(pa.int64())),
-                   pa.array([partition.number] * len(ids), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "query_name", "ones", "block_id"])
+        foreign = sum(int(np.isin(bits // n_targets, sorted_ids, invert=True).sum()) for bits in chunks)
+        first, last = (int(sorted_ids[0]), int(sorted_ids[-1])) if len(sorted_ids) else (-1, -1)
+        numbers = [block.number, block.offset, head.num_records]
+        rest = [head.flags_len, head.block_len, first, last]
+        yield _batch("index", *[_longs([v]) for v in numbers], pa.array([head.bitmap_type], pa.int32()), *[_longs([v]) for v in rest],
+                     pa.array([names is not None]), _longs([foreign]))
 
 
 class PruningReader(ContainerReader):
@@ -157,44 +254,97 @@ def read_view(spark: SparkSession, uri: str, view: str = "records") -> DataFrame
     return spark.read.format("pseudoaln").option("view", view).option("prune", prune).load(uri)
 
 
+def _sound(spark: SparkSession, uri: str) -> bool:
+    """Whether every query lies in one block only: id ranges do not overlap, and no block holds bits
+    of another's queries."""
+    rows = read_view(spark, uri, "index").select("first_id", "last_id", "foreign").collect()  # one row a block
+    ranges = sorted((r["first_id"], r["last_id"]) for r in rows if r["last_id"] >= 0)
+    apart = all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    return apart and not any(r["foreign"] for r in rows)
+
+
+def _named(query_name, sample: str):
+    return F.coalesce(query_name, F.concat(F.lit(sample + "."), F.col("query_id") + 1))
+
+
+def read_queries(spark: SparkSession, uri: str) -> DataFrame:
+    """(query_id, query_name) of a container, from the flags alone; names missing there are the
+    sample, a dot and id plus one."""
+    _, sample, _, _ = read_head(uri)
+    found = read_view(spark, uri, "queries").groupBy("query_id").agg(F.max("query_name").alias("query_name"))
+    return found.select("query_id", _named(F.col("query_name"), sample).alias("query_name"))
+
+
 def read_container(spark: SparkSession, uri: str) -> Alignment:
-    """Records by id over all blocks, with dictionaries.
+    """Records with dictionaries.
 
-    Bits that a block holds for queries of another block are gathered with those; the query universe
+    Blocks with separate queries are read without a shuffle.  Otherwise bits that a block holds for
+    queries of another block are gathered with those, by id over all blocks; the query universe
     comes from the flags of all blocks.  Queries without names get the sample, a dot and id plus one.
     """
     _, sample, targets, _ = read_head(uri)
-    raw = read_view(spark, uri)
-    records = raw.groupBy("query_id").agg(
-        F.max("query_name").alias("query_name"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ones")))).alias("ones"),
-        F.max("block_id").alias("block_id"),
-    )
-    named = F.coalesce("query_name", F.concat(F.lit(sample + "."), F.col("query_id") + 1))
-    records = records.withColumn("query_name", named).withColumn("ones_names", F.lit(None).cast("array<string>"))
-    return Alignment(records, target_table(spark, targets), records.select("query_id", "query_name"), sample)
-
-
-def pack_blocks(records: DataFrame, n_targets: int, block, wide: bool, compression: int = layout.GZIP, names: bool = True) -> DataFrame:
-    """(block_id, data): packed blocks.  ``block`` is the column of block numbers; a block holds a
-    bounded number of records, so its packing is bounded as well."""
-    kind = layout.BITS_64 if wide else layout.BITS_32
+    records = read_view(spark, uri)
+    if not _sound(spark, uri):
+        records = records.groupBy("query_id").agg(
+            F.max("query_name").alias("query_name"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("ones")))).alias("ones"),
+            F.max("block_id").alias("block_id"),
+        )
+    records = records.withColumn("query_name", _named(F.col("query_name"), sample))
+    records = records.withColumn("ones_names", F.lit(None).cast("array<string>"))
+    return Alignment(records, target_table(spark, targets), read_queries(spark, uri), sample)
 
-    def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by("query_id")
+
+DECODE_ORDER = ["block_id", "no_hits", "query_id"]
+
+
+def decode_order(records: DataFrame) -> DataFrame:
+    """Append ``no_hits``: by :data:`DECODE_ORDER` records stand as a container gives them, block by
+    block, queries with hits first, each by id."""
+    return records.withColumn("no_hits", F.size("ones") == 0)
+
+
+def _packer(n_targets: int, kind: int, size: int, compression: int, names: bool):
+    """Reads (block_id, query_id, query_name, ones) sorted by block and id; gives (block_id, part,
+    first_id, last_id, data), one row a block."""
+
+    def packed(block: int, part: int, held: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(held)
         ids = table.column("query_id").to_pylist()
         hits = table.column("ones").combine_chunks()
         owner = np.repeat(np.asarray(ids, np.int64), np.diff(hits.offsets.to_numpy()))
         target = hits.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(target) and not 0 <= int(target.min()) <= int(target.max()) < max(n_targets, 1):
+            raise CorruptedInputErr("IndexNotFound: a target outside the dictionary")
         bits = np.unique(owner * n_targets + target)
         own = table.column("query_name").to_pylist() if names else None
         if own is not None and None in own:
             raise QueryNamesNotFilled("a record has no query name")
         data = layout.Block(ids, own, bits, kind, compression).pack()
-        return pa.table({"block_id": pa.array([table.column("block_id")[0].as_py()], pa.int64()), "data": pa.array([data], pa.binary())})
+        row = {"block_id": [block], "part": [part], "first_id": [ids[0]], "last_id": [ids[-1]]}
+        return pa.RecordBatch.from_arrays([*(_longs(v) for v in row.values()), pa.array([data], pa.binary())], names=[*row, "data"])
 
-    rows = records.select(block.cast("long").alias("block_id"), "query_id", "query_name", "ones")
-    return rows.groupBy("block_id").applyInArrow(pack, "block_id long, data binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, part, held, rows, hits = None, 0, [], 0, 0
+        for batch in batches:
+            blocks = np.asarray(batch.column(0))
+            lengths = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < batch.num_rows:
+                if blocks[at] != block or rows >= size or hits >= MOST_HITS:
+                    if held:
+                        yield packed(block, part, held)
+                    part = part + 1 if blocks[at] == block else 0
+                    block, held, rows, hits = int(blocks[at]), [], 0, 0
+                end = min(int(np.searchsorted(blocks, block, side="right")), at + size - rows)
+                total = hits + np.cumsum(lengths[at:end])
+                end = at + min(end - at, int(np.searchsorted(total, MOST_HITS)) + 1)
+                held.append(batch.slice(at, end - at))
+                rows, hits, at = rows + end - at, int(total[end - at - 1]), end
+        if held:
+            yield packed(block, part, held)
+
+    return run
 
 
 def write_container(
@@ -205,65 +355,154 @@ def write_container(
     compression: int = layout.GZIP,
     names: bool = True,
     by: str = "query_id",
+    folder: bool = False,
+    query_names: DataFrame | None = None,
 ) -> None:
     """Write records (one row a query, ``ones`` filled) as one container.
 
-    ``by``: the column whose value, divided by the block size, is the block number; ``row_idx`` keeps
-    blocks in input order.  A null ``ones`` counts as empty.
+    ``by``: ``query_id`` cuts blocks by id divided by the block size; ``row_idx`` gives every block
+    so many records in input order.  A null ``ones`` counts as empty.  ``folder``: leave the blocks
+    in files of their own.  ``query_names`` (query_id, query_name) replaces the records' names.
     """
-    spark = a.records.sparkSession
     targets = [r["target_name"] for r in a.targets.orderBy("target_id").toLocalIterator()]
-    top = a.records.agg(F.count("*").alias("n"), F.max("query_id").alias("top")).first()
+    ones = F.coalesce("ones", F.array().cast("array<bigint>")).alias("ones")
+    name = F.col("query_name") if "query_name" in a.records.columns else F.lit(None).cast("string").alias("query_name")
+    place = [c for c in ("row_idx",) if by == c]
+    records = a.records.select("query_id", name, ones, *place)
+    if query_names is not None:
+        from ..operators.resolve import fill_query_names
+
+        bare = records.withColumn("query_name", F.lit(None).cast("string"))
+        records = fill_query_names(Alignment(bare, a.targets, query_names)).records
+    records = dense_rank_by(records, "row_idx", "__place") if place else materialize(records, "records")
+    top = records.agg(F.count("*").alias("n"), F.max("query_id").alias("top"), F.count("query_id").alias("ids")).first()
+    if top["ids"] < top["n"]:
+        raise QueryIdsNotFilled("a record has no query id")
     wide = layout.is_wide(len(targets), max(top["n"], (top["top"] or 0) + 1))
     size = block_size or layout.default_block_size(len(targets), wide)
     if not wide:
         size = max(1, min(size, layout.U32 // max(len(targets), 1)))
-    records = a.records.withColumn("ones", F.coalesce("ones", F.array().cast("array<bigint>")))
-    packed = pack_blocks(records, len(targets), F.floor(F.col(by) / size), wide, compression, names)
-    system, path = file_system(uri)
-    parts = f"{path}.parts-{uuid.uuid4().hex}"
-    system.create_dir(parts)
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, _ = file_system(uri)
-        for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                name = f"{parts}/{block:020d}-{uuid.uuid4().hex}"
-                with own.open_output_stream(name) as f:
-                    f.write(data)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([name])], names=["block_id", "name"])
-
-    done = packed.mapInArrow(put, "block_id long, name string").collect()  # one row a block: names only
+    kind = layout.BITS_64 if wide else layout.BITS_32
+    block = F.floor(F.col("__place" if place else "query_id") / size).cast("long").alias("block_id")
+    rows = records.select(block, "query_id", "query_name", "ones").repartition("block_id").sortWithinPartitions("block_id", "query_id")
+    packed = rows.mapInArrow(_packer(len(targets), kind, size, compression, names), "block_id long, part long, first_id long, last_id long, data binary")
     fields = layout.HAS_IDS | (layout.HAS_NAMES if names else 0)
     flags = layout.file_flags(a.sample if sample is None else sample, targets, compression)
-    kind = layout.BITS_64 if wide else layout.BITS_32
     head = layout.FileHeader(len(targets), top["n"], kind, size, len(flags), fields, compression)
-    with system.open_output_stream(path) as out:
-        out.write(head.pack() + flags)
-        for r in sorted(done):
-            with system.open_input_stream(r["name"]) as part:
-                while chunk := part.read(1 << 22):
+    _write_folder(packed, head.pack() + flags, uri, folder)
+
+
+def _write_folder(blocks: DataFrame, head: bytes, uri: str, keep: bool) -> None:
+    """Write rows (block_id, part, first_id, last_id, data) as a folder, where executors put the
+    blocks; joined to one file unless that folder is to be kept."""
+    own = uri if keep else f"{uri}.parts-{uuid.uuid4().hex}"
+    system, path = file_system(own)
+    system.create_dir(path, recursive=True)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, root = file_system(own)
+        for batch in batches:
+            made = []
+            for r in batch.to_pylist():
+                name = f"block-{r['block_id']:020d}-{r['part']:06d}-{uuid.uuid4().hex}"
+                with there.open_output_stream(f"{root}/{name}") as f:
+                    f.write(r["data"])
+                made.append({**{k: r[k] for k in ("block_id", "part", "first_id", "last_id")}, "name": name, "length": len(r["data"])})
+            if made:
+                yield pa.RecordBatch.from_pylist(made)
+
+    schema = "block_id long, part long, first_id long, last_id long, name string, length long"
+    done = blocks.mapInArrow(put, schema).collect()  # one row a block: names only
+    listed = [json.dumps([r["name"], r["length"], r["first_id"], r["last_id"]]) for r in sorted(done)]
+    for name, data in (("head", head), ("blocks", "\n".join(listed).encode())):
+        with system.open_output_stream(f"{path}/{name}") as f:
+            f.write(data)
+    if not keep:
+        join(own, uri)
+        system.delete_dir(path)
+
+
+def join(folder: str, uri: str) -> None:
+    """One file of a folder: the header and the blocks, copied a few MB at a time."""
+    system, path = file_system(folder)
+    there, name = file_system(uri)
+    with there.open_output_stream(name) as out:
+        for part in ["head", *[b.uri.rsplit("/", 1)[1] for b in block_list(folder)]]:
+            with system.open_input_stream(f"{path}/{part}") as f:
+                while chunk := f.read(CHUNK):
                     out.write(chunk)
-    system.delete_dir(parts)
-    del spark
+
+
+def append(spark: SparkSession, sources: list[str], uri: str, compression: int = layout.GZIP, folder: bool = False) -> None:
+    """Concatenate containers without taking bitmaps apart: executors copy the blocks; only flags are
+    packed again, if they are compressed otherwise.  Sample and targets are those of the first.
+
+    Targets and fields must be equal and ids must be there; that no query occurs twice is for the
+    caller to check.
+    """
+    heads = [read_head(s) for s in sources]
+    first, sample, targets, _ = heads[0]
+    for head, _, own, _ in heads[1:]:
+        if own != targets or head.n_targets != first.n_targets:
+            raise IncompatibleFileHeadersErr("inputs have different targets")
+        if head.fields_present != first.fields_present:
+            raise IncompatibleFileHeadersErr("inputs hold different fields")
+    if not first.fields_present & layout.HAS_IDS:
+        raise QueryIdsNotFilled("an input lacks query ids")
+    total = sum(h.n_queries or info(s)["n_queries"] for s, (h, _, _, _) in zip(sources, heads, strict=True))
+    flags = layout.file_flags(sample, targets, compression)
+    kind = max(h.bitmap_type for h, _, _, _ in heads)
+    head = layout.FileHeader(first.n_targets, total, kind, max(h.block_size for h, _, _, _ in heads), len(flags), first.fields_present, compression)
+    every = [(k, b.uri, b.offset, b.length) for k, b in enumerate(b for s in sources for b in block_list(s))]
+    rows = spark.createDataFrame(every, "block_id long, uri string, offset long, length long")
+    rows = rows.repartition(max(1, min(len(every), 10_000)))
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                system, path = file_system(r["uri"])
+                with system.open_input_file(path) as f:
+                    data = f.read_at(r["length"], r["offset"])
+                own = layout.BlockHeader.unpack(data)
+                at = layout.BLOCK_HEADER.size
+                names, ids = layout.read_block_flags(data[at : at + own.flags_len], own.metadata_compression)
+                if own.metadata_compression != compression:
+                    packed = layout.block_flags(names, ids, compression)
+                    fresh = layout.BlockHeader(own.num_records, own.block_len, len(packed), own.fields_present, own.bitmap_type, compression)
+                    data = fresh.pack() + packed + data[at + own.flags_len :]
+                row = {"block_id": r["block_id"], "part": 0, "first_id": min(ids or [-1]), "last_id": max(ids or [-1])}
+                yield pa.RecordBatch.from_arrays([*(_longs([v]) for v in row.values()), pa.array([data], pa.binary())], names=[*row, "data"])
+
+    _write_folder(rows.mapInArrow(copy, "block_id long, part long, first_id long, last_id long, data binary"), head.pack() + flags, uri, folder)
 
 
 # Helpers for single pieces, for callers that hold bytes.
 
 
-def encode_file_header_and_flags(sample: str, targets: list[str], n_queries: int, names: bool = True) -> bytes:
+def encode_file_header_and_flags(sample: str, targets: list[str], n_queries: int, names: bool = True, compression: int = layout.GZIP,
+                                 block_size: int | None = None) -> bytes:
     wide = layout.is_wide(len(targets), n_queries)
-    flags = layout.file_flags(sample, targets)
+    flags = layout.file_flags(sample, targets, compression)
     fields = layout.HAS_IDS | (layout.HAS_NAMES if names else 0)
-    return layout.FileHeader(len(targets), n_queries, int(wide), layout.default_block_size(len(targets), wide), len(flags), fields).pack() + flags
+    size = block_size or layout.default_block_size(len(targets), wide)
+    return layout.FileHeader(len(targets), n_queries, int(wide), size, len(flags), fields, compression).pack() + flags
+
+
+def _ascending(bits) -> np.ndarray:
+    values = np.asarray(list(bits), np.int64)
+    if (np.diff(values) <= 0).any():
+        raise SetBitsNotSorted("set bits must ascend")
+    return values
 
 
 def encode_block(bits, ids: list[int], names: list[str] | None = None, wide: bool = False) -> bytes:
-    return layout.Block(ids, names, np.unique(np.asarray(list(bits), np.int64)), int(wide)).pack()
+    """One block; the bits must ascend."""
+    return layout.Block(ids, names, _ascending(bits), int(wide)).pack()
 
 
 def encode_bitmap(bits, wide: bool = False) -> bytes:
-    return layout.pack_bitmap(np.unique(np.asarray(list(bits), np.int64)), int(wide))
+    """One compressed bitmap; the bits must ascend."""
+    return layout.pack_bitmap(_ascending(bits), int(wide))
 
 
 def decode_bitmap(data: bytes, wide: bool = False) -> list[int]:
@@ -283,7 +522,8 @@ def decode_query_names(uri: str) -> list[str]:
 
 
 def _all_flags(uri: str):
-    system, path = file_system(uri)
-    with system.open_input_file(path) as f:
-        for at, head in walk_blocks(uri):
-            yield layout.read_block_flags(f.read_at(head.flags_len, at + layout.BLOCK_HEADER.size), head.metadata_compression)
+    for b in block_list(uri):
+        system, path = file_system(b.uri)
+        with system.open_input_file(path) as f:
+            head = layout.BlockHeader.unpack(f.read_at(layout.BLOCK_HEADER.size, b.offset))
+            yield layout.read_block_flags(f.read_at(head.flags_len, b.offset + layout.BLOCK_HEADER.size), head.metadata_compression)

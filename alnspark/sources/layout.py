@@ -5,11 +5,12 @@ from __future__ import annotations
 import gzip
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
-from ..errors import ContainerHeaderError, ContainerVersionError, CorruptedInputErr, EncodeError
+from ..errors import ContainerHeaderError, ContainerVersionError, CorruptedInputErr, EncodeError, HeaderPromiseNotHonoured, InvalidConversion
 
 # Fixed values of the format.
 MAGIC = bytes([97, 104, 100, 97])
@@ -185,42 +186,60 @@ def put_bitmap32(values: np.ndarray) -> bytes:
     return head + index + offsets + b"".join(bodies)
 
 
-def take_bitmap32(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
-    """The numbers of a portable bitmap, and where it ends."""
+def bitmap_chunks(data: bytes, kind: int) -> Iterator[np.ndarray]:
+    """The ascending numbers of an inflated bitmap, at most 65,536 at once."""
     try:
-        (cookie,) = struct.unpack_from("<I", data, at)
-        at += 4
-        runs = b""
-        if cookie & 0xFFFF == COOKIE_RUNS:
-            n = (cookie >> 16) + 1
-            runs = data[at : at + (n + 7) // 8]
-            at += len(runs)
-        elif cookie == COOKIE_PLAIN:
-            (n,) = struct.unpack_from("<I", data, at)
+        if kind == BITS_32:
+            yield from (low for low, _ in _chunks32(data, 0))
+            return
+        (n,), at = struct.unpack_from("<Q", data, 0), 8
+        for _ in range(n):
+            (key,) = struct.unpack_from("<I", data, at)
             at += 4
-        else:
-            raise CorruptedInputErr("not a bitmap")
-        index = np.frombuffer(data, "<u2", 2 * n, at).reshape(n, 2)
-        at += 4 * n
-        if not runs or n >= 4:
-            at += 4 * n
-        out = []
-        for i, (key, less) in enumerate(index.tolist()):
-            if runs and runs[i // 8] >> i % 8 & 1:
-                (count,) = struct.unpack_from("<H", data, at)
-                pairs = np.frombuffer(data, "<u2", 2 * count, at + 2).reshape(count, 2).astype(np.int64)
-                at += 2 + 4 * count
-                low = np.concatenate([np.arange(s, s + more + 1) for s, more in pairs]) if count else np.zeros(0, np.int64)
-            elif less + 1 <= 4096:
-                low = np.frombuffer(data, "<u2", less + 1, at).astype(np.int64)
-                at += 2 * (less + 1)
-            else:
-                low = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, 8192, at), bitorder="little"))
-                at += 8192
-            out.append(low + (key << 16))
+            for low, at in _chunks32(data, at):  # noqa: B020 - the next bitmap begins where this one ends
+                yield low + (key << 32)
     except (struct.error, ValueError) as e:
         raise CorruptedInputErr("a bitmap cut short") from e
-    return (np.concatenate(out) if out else np.zeros(0, np.int64)), at
+
+
+def _chunks32(data: bytes, at: int) -> Iterator[tuple[np.ndarray, int]]:
+    """The numbers of each key of a portable bitmap, and where the bitmap ends; at least one chunk."""
+    (cookie,) = struct.unpack_from("<I", data, at)
+    at += 4
+    runs = b""
+    if cookie & 0xFFFF == COOKIE_RUNS:
+        n = (cookie >> 16) + 1
+        runs = data[at : at + (n + 7) // 8]
+        at += len(runs)
+    elif cookie == COOKIE_PLAIN:
+        (n,) = struct.unpack_from("<I", data, at)
+        at += 4
+    else:
+        raise CorruptedInputErr("not a bitmap")
+    index = np.frombuffer(data, "<u2", 2 * n, at).reshape(n, 2)
+    at += 4 * n
+    if not runs or n >= 4:
+        at += 4 * n
+    if not n:
+        yield np.zeros(0, np.int64), at
+    for i, (key, less) in enumerate(index.tolist()):
+        if runs and runs[i // 8] >> i % 8 & 1:
+            (count,) = struct.unpack_from("<H", data, at)
+            pairs = np.frombuffer(data, "<u2", 2 * count, at + 2).reshape(count, 2).astype(np.int64)
+            at += 2 + 4 * count
+            low = np.concatenate([np.arange(s, s + more + 1) for s, more in pairs]) if count else np.zeros(0, np.int64)
+        elif less + 1 <= 4096:
+            low = np.frombuffer(data, "<u2", less + 1, at).astype(np.int64)
+            at += 2 * (less + 1)
+        else:
+            low = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, 8192, at), bitorder="little"))
+            at += 8192
+        yield low + (key << 16), at
+
+
+def take_bitmap32(data: bytes) -> np.ndarray:
+    """The numbers of a portable bitmap."""
+    return np.concatenate(list(bitmap_chunks(data, BITS_32)))
 
 
 def put_bitmap64(values: np.ndarray) -> bytes:
@@ -233,25 +252,15 @@ def put_bitmap64(values: np.ndarray) -> bytes:
     return out
 
 
-def take_bitmap64(data: bytes) -> np.ndarray:
-    (n,), at, out = struct.unpack_from("<Q", data, 0), 8, []
-    for _ in range(n):
-        (key,) = struct.unpack_from("<I", data, at)
-        low, at = take_bitmap32(data, at + 4)
-        out.append(low + (key << 32))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
 def pack_bitmap(values: np.ndarray, kind: int) -> bytes:
     """Compressed bitmap of ascending distinct numbers."""
     if kind == BITS_32 and len(values) and int(values[-1]) > U32:
-        raise EncodeError("a bit number needs the wide bitmap")
+        raise InvalidConversion("a bit number needs the wide bitmap")
     return deflate(put_bitmap64(values) if kind == BITS_64 else put_bitmap32(values))
 
 
 def unpack_bitmap(data: bytes, kind: int) -> np.ndarray:
-    raw = inflate(data)
-    return take_bitmap64(raw) if kind == BITS_64 else take_bitmap32(raw)[0]
+    return np.concatenate([np.zeros(0, np.int64), *bitmap_chunks(inflate(data), kind)])
 
 
 @dataclass
@@ -266,6 +275,8 @@ class Block:
     header: BlockHeader | None = field(default=None, compare=False)
 
     def pack(self) -> bytes:
+        if self.ids and not 0 <= min(self.ids) <= max(self.ids) <= U32:
+            raise InvalidConversion("a query id does not fit 32 bits")
         flags = block_flags(self.names, self.ids, self.compression)
         bitmap = pack_bitmap(self.bits, self.bitmap_type)
         fields = HAS_IDS | (HAS_NAMES if self.names is not None else 0)
@@ -279,5 +290,7 @@ class Block:
         if len(data) < at + head.flags_len + head.block_len:
             raise CorruptedInputErr("a block cut short")
         names, ids = read_block_flags(data[at : at + head.flags_len], head.metadata_compression)
+        if (names is None) == bool(head.fields_present & HAS_NAMES) or (ids is None) == bool(head.fields_present & HAS_IDS):
+            raise HeaderPromiseNotHonoured("a block holds other fields than its header announces")
         bits = unpack_bitmap(data[at + head.flags_len : at + head.flags_len + head.block_len], head.bitmap_type)
         return cls(ids if ids is not None else [], names, bits, head.bitmap_type, head.metadata_compression, head)

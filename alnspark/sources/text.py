@@ -7,11 +7,12 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import NeedTargetSequences
+from ..errors import CorruptedInputErr, NeedTargetSequences
 from ..functions.sniff import sniff
-from ..functions.text_formats import HEADERS, PARSERS, header_lines, render
+from ..functions.text_formats import HEADERS, fail, header_lines, parse, render
 from ..model import Alignment, dictionary
 from ..operators.concat import same_targets
+from ..workspace import materialize
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -52,15 +53,22 @@ def read_names(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def read_fastx_names(spark: SparkSession, path: str) -> DataFrame:
     """The query dictionary of a FASTA or FASTQ file (gzip is read too): what follows the mark, up to
-    the first blank."""
-    rows = with_row_index(lines(spark, path))
+    the first space.
+
+    FASTQ records have four lines each; blank lines after the last record are skipped, and any other
+    line in the place of a head that lacks its mark is an error.
+    """
+    rows = with_row_index(lines(spark, path)).withColumn("value", F.rtrim("value", F.lit("\r")))
     mark = first_line(spark, path)[:1]
     if mark == ">":
         heads = rows.filter(F.col("value").startswith(">"))
     elif mark == "@":
-        heads = rows.filter(F.col("row_idx") % 4 == 0)
+        last = rows.filter("value <> ''").agg(F.max("row_idx").alias("n")).first()["n"]
+        heads = rows.filter((F.col("row_idx") % 4 == 0) & (F.col("row_idx") <= last))
+        marked = F.when(F.col("value").startswith("@"), F.col("value"))
+        heads = heads.withColumn("value", F.coalesce(marked, fail("CorruptedInputErr", "a FASTQ head without its mark").cast("string")))
     else:
-        raise ValueError("neither FASTA nor FASTQ")
+        raise CorruptedInputErr("neither FASTA nor FASTQ")
     names = heads.select("row_idx", F.substring_index(F.expr("substring(value, 2)"), " ", 1).alias("name"))
     return dictionary(names, "row_idx", "name", "query")
 
@@ -102,23 +110,35 @@ def read_alignment(
     if targets is None:
         raise NeedTargetSequences(f"{fmt} lines do not name the targets")
     value = F.rtrim("value") if trim_trailing else F.col("value")
-    records = rows.select(PARSERS[fmt](value).alias("r"), "row_idx").select("r.*", "row_idx")
+    records = parse(rows, fmt, value, ["row_idx"])
     return Alignment(records, targets, queries, sample)
 
 
-def rendered(a: Alignment, fmt: str) -> DataFrame:
-    """Lines of the records, without a header: (row_idx, value)."""
+def rendered(a: Alignment, fmt: str, order: list[str] | None = None) -> DataFrame:
+    """Lines of the records, without a header: ``value`` and the columns that give their ``order``."""
     n = a.targets.count() if fmt in HEADERS else 0
-    order = F.col("row_idx") if "row_idx" in a.records.columns else F.col("query_id")
-    return a.records.select(order.alias("row_idx"), render(fmt, n).alias("value"))
-
-
-def write_text(a: Alignment, fmt: str, path: str) -> None:
-    """Write lines in input order as a folder of parts: the header, if the format has one and there
-    are records, is the first line of the first part."""
-    out = rendered(a, fmt)
-    if fmt in HEADERS and not out.isEmpty():
-        names = [r["target_name"] for r in a.targets.orderBy("target_id").select("target_name").toLocalIterator()]
-        head = out.sparkSession.createDataFrame([(-1, x) for x in header_lines(fmt, names)], "row_idx long, value string")
-        out = head.unionByName(out)
-    out.repartitionByRange("row_idx").sortWithinPartitions("row_idx").select("value").write.mode("overwrite").text(path)
+    if order is None:
+        order = ["row_idx" if "row_idx" in a.records.columns else "query_id"]
+    return a.records.select(*order, render(fmt, n).alias("value"))
+
+
+def write_text(a: Alignment, fmt: str, path: str, order: list[str] | None = None) -> None:
+    """Write lines as a folder of parts, in input order or by the columns ``order``: the header, if
+    the format has one and there are records, is the first line of the first part.  Lines are
+    computed once."""
+    out = rendered(a, fmt, order)
+    by = [c for c in out.columns if c != "value"]
+    if fmt in HEADERS:
+        out = materialize(out, "lines")
+        if not out.isEmpty():
+            names = [r["target_name"] for r in a.targets.orderBy("target_id").select("target_name").toLocalIterator()]
+            head = out.sparkSession.createDataFrame([(x,) for x in header_lines(fmt, names)], "value string")
+            out = head.select(*[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in by], "value").unionByName(out)
+    # nulls, and so the header, come first
+    out.repartitionByRange(*by).sortWithinPartitions(*by).select("value").write.mode("overwrite").text(path)
+
+
+def stream_lines(spark: SparkSession, path: str):
+    """Lines of a text file or of a folder of parts, in order, one after another (for a pipe)."""
+    for r in lines(spark, path).orderBy("file", "block", "place").select("value").toLocalIterator():
+        yield r["value"]

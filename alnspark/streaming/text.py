@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text_formats import HEADERS, PARSERS, render
+from ..functions.text_formats import HEADERS, parse, render
 
 
 def read_stream(spark: SparkSession, folder: str, format: str, trim_trailing: bool = False) -> DataFrame:
@@ -17,7 +17,7 @@ def read_stream(spark: SparkSession, folder: str, format: str, trim_trailing: bo
         rows = rows.filter(~F.col("value").startswith(HEADERS[format][0] + "\t"))
     elif format == "sam":
         rows = rows.filter(~F.col("value").startswith("@"))
-    return rows.select(PARSERS[format](value).alias("r")).select("r.*")
+    return parse(rows, format, value)
 
 
 def render_stream(records: DataFrame, format: str, n_targets: int = 0) -> DataFrame:

@@ -22,9 +22,9 @@ def test_bitmap_forms():
     dense = np.arange(10, 9010)
     raw = layout.put_bitmap32(dense)
     assert struct.unpack_from("<IIHHI", raw) == (12346, 1, 0, 8999, 16) and len(raw) == 16 + 8192
-    assert layout.take_bitmap32(raw)[0].tolist() == dense.tolist()
+    assert layout.take_bitmap32(raw).tolist() == dense.tolist()
     runs = struct.pack("<IBHHHHHHH", 12347 | 0 << 16, 1, 0, 6, 2, 5, 2, 20, 3)
-    assert layout.take_bitmap32(runs)[0].tolist() == [5, 6, 7, 20, 21, 22, 23]
+    assert layout.take_bitmap32(runs).tolist() == [5, 6, 7, 20, 21, 22, 23]
     with pytest.raises(CorruptedInputErr):
         layout.take_bitmap32(raw[:100])
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from alnspark.errors import AmbiguousInputFormatErr, NeedTargetSequences, UnrecognizedInputFormatErr
 from alnspark.functions.sniff import sniff
-from alnspark.functions.text_formats import PARSERS, header_lines, render
+from alnspark.functions.text_formats import header_lines, parse, render
 from alnspark.model import Alignment
 from alnspark.operators import matrix, resolve, set_ops
 from alnspark.operators.concat import concatenate
@@ -15,8 +15,8 @@ from alnspark.sources.text import read_alignment, read_fastx_names, read_names,
 
 def parsed(spark, fmt, *lines):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string")
-    got = rows.select("i", PARSERS[fmt](F.col("value")).alias("r")).orderBy("i").collect()
-    return [(r.r.query_id, r.r.query_name, r.r.ones, r.r.ones_names) for r in got]
+    got = parse(rows, fmt, keep=["i"]).orderBy("i").collect()
+    return [(r.query_id, r.query_name, r.ones, r.ones_names) for r in got]
 
 
 def test_sniff():
