@@ -6,8 +6,10 @@ reused; the ids equal those of encoding the whole text.  A mapping from bytes to
 character offsets, also for tokens that hold only part of a character.  Decoding looks ids up in
 the reversed byte table and joins raw bytes, so characters split over tokens come back whole.
 
-Edge cases: a null or empty text has no tokens and decodes to the empty byte string; special-token
-strings inside a text are ordinary text; unknown ids raise ``ValueError`` on decoding.
+Edge cases: a null or empty text has no tokens and decodes to the empty byte string; very long texts are
+encoded whole; special-token strings inside a text are ordinary text; unknown ids raise ``ValueError``
+on decoding; repeated rows get equal results; of merges of equal rank the library takes the first; an
+empty table gives an empty result; an input column named like an output gives way to it.
 """
 
 from __future__ import annotations
@@ -25,8 +27,12 @@ from pyspark.sql import types as T
 
 from .common import annotate
 
-#: Words and pieces kept per worker before the older half is let go; bounds memory, never results.
+#: Words and pieces kept per worker before the older half is let go, the bytes they may take, and the
+#: longest of them that are kept at all; bounds memory, never results.
 WORDS_KEPT, PIECES_KEPT = 600_000, 200_000
+BYTES_KEPT, LONGEST_KEPT = 96 << 20, 64
+#: What Python needs for an entry besides its characters and ids, about.
+ENTRY = 200
 
 # White space as the splitting pattern sees it (Unicode White_Space).
 _WS = "\\t-\\r \x85\xa0  -     　"
@@ -53,21 +59,27 @@ class _Odd(Exception):
 
 
 class _Kept(dict):
-    """Ids by piece, computed when first met.  Two generations: when the younger is full the older
-    is let go, and what is still used moves up."""
+    """Ids by piece, computed when first met.  Two generations: when the younger is full (by number or
+    by bytes) the older is let go, and what is still used moves up.  Long pieces are not kept: a text
+    without blanks is one piece, and whole documents would pile up."""
 
-    def __init__(self, most: int, make):
+    def __init__(self, most: int, make, most_bytes: int = BYTES_KEPT):
         super().__init__()
         self.most, self.make, self.older = most, make, {}
+        self.most_bytes, self.held = most_bytes, 0
 
     def __missing__(self, piece: str) -> bytes:
+        if len(piece) > LONGEST_KEPT:
+            return self.make(piece)
         ids = self.older.get(piece)
         if ids is None:
             ids = self.make(piece)
-        if len(self) >= self.most:
+        if len(self) >= self.most or self.held >= self.most_bytes:
             self.older = dict(self)
             self.clear()
+            self.held = 0
         self[piece] = ids
+        self.held += ENTRY + 4 * len(piece) + len(ids)
         return ids
 
 

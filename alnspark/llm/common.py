@@ -2,57 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows handled at once inside a Python worker; bounds memory when texts are long.
+from ..workspace import materialize, shared_path
+
+__all__ = ["annotate", "by_place", "column", "crc_bucket", "fresh", "labelled_sample", "lookup", "materialize", "scratch", "texts_of"]
+
+#: Rows handled at once inside a Python worker; an Arrow batch itself is bounded by Spark (64 MB
+#: unless ``spark.sql.execution.arrow.maxBytesPerBatch`` says otherwise).
 SLICE = 256
-#: Rows per Arrow batch sent to a worker, unless the session sets its own figure.
-ARROW_ROWS = 2000
 
 #: A key is hot if it holds more than one in so many rows.
 HOT_KEYS = 4096
+#: Bytes of text of each class that a model is fitted on, at most: bounds the driver's memory.
+SAMPLE_BYTES = 16 << 20
 
-WORD_SPACE = "\x20\x09-\x0d"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else (tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="alnspark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/alnspark-{name}-{uuid.uuid4().hex}"
+scratch = shared_path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: a cut in the lineage that
-    survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small where the session leaves the default of 10,000 rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(ARROW_ROWS))
+def column(name: str) -> Column:
+    """A column by its whole name, whatever marks the name holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -62,7 +38,7 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def by_place(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns under names of their places, so that no name can clash with another."""
-    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    return df.select(*[column(c).alias(f"c{i}") for i, c in enumerate(columns)])
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -83,11 +59,12 @@ def annotate(
 ) -> DataFrame:
     """Append columns computed from whole texts, batch by batch, without a shuffle.
 
+    An input column named like a new one (ignoring case) gives way to it.
+
     ``make`` runs once per task and gives a function from a list of texts to one value list per
     field.  ``keep`` names the input columns to pass through (default: all).  With ``nulls`` the
     function sees null texts as None, else as empty texts.
     """
-    bounded_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     out = T.StructType([df.schema[c] for c in kept] + fields)
@@ -123,9 +100,9 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int)
     return by_broadcast.unionByName(by_shuffle)
 
 
-def crc_bucket(column: str, modulus: int):
+def crc_bucket(name: str, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % F.lit(modulus)
+    return F.crc32(F.coalesce(column(name).cast("string"), F.lit(""))) % F.lit(modulus)
 
 
 def labelled_sample(
@@ -136,26 +113,40 @@ def labelled_sample(
     exclude=None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    most_bytes: int = SAMPLE_BYTES,
 ) -> DataFrame:
-    """At most ``per_class`` labelled documents of each class, picked by a hash of the id.
+    """(id, text, y): at most ``per_class`` labelled documents and ``most_bytes`` of text of each class.
 
+    Ids are taken in the order of a hash; one whose text would go beyond the bytes is passed over.
     ``exclude`` is a boolean column over the id: rows where it holds are never used.  Ids labelled
-    more than once count with their largest label; labels other than 0 and 1 are ignored.  Only the
-    picked ids (a documented bound) are broadcast; texts are never shuffled.
+    more than once count with their largest label; labels other than 0 and 1 are ignored.  Of an id
+    that stands in several rows the shortest text counts, of equally long ones the first in order.
+    Only picked ids (a documented bound) are broadcast; the texts of picked ids alone are shuffled,
+    one of each id from each task.
     """
-    rows = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
+    rows = labels.select(column(id_col).alias("id"), column(label).cast("int").alias("y"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("y").isin(0, 1))
     if exclude is not None:
         rows = rows.filter(~exclude("id"))
     rows = rows.groupBy("id").agg(F.max("y").alias("y"))
+    spark, id_type = docs.sparkSession, labels.schema[id_col].dataType
+    schema = T.StructType([T.StructField("__id", id_type), T.StructField("y", T.IntegerType())])
+
+    def joined(table: DataFrame, picked: list) -> DataFrame:
+        ids = F.broadcast(spark.createDataFrame(picked, schema))
+        return table.join(ids, F.col("id").eqNullSafe(F.col("__id"))).drop("__id")
+
     picked: list = []
     for y in (0, 1):
         own = rows.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
         picked += [(r["id"], r["y"]) for r in own.collect()]
-    id_type = labels.schema[id_col].dataType
-    ids = docs.sparkSession.createDataFrame(
-        picked, T.StructType([T.StructField("__id", id_type), T.StructField("y", T.IntegerType())])
-    )
-    return docs.select(F.col(id_col), F.col(text_col)).join(
-        F.broadcast(ids), F.col(id_col).eqNullSafe(F.col("__id"))
-    ).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "y")
+    texts = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"))
+    least = F.min(F.struct(F.octet_length("text").alias("n"), "text")).alias("t")
+    found = materialize(joined(texts, picked).groupBy("id", "y").agg(least).select("id", "t.text", "y", "t.n"), "sample")
+    size = {r["id"]: r["n"] for r in found.select("id", "n").collect()}
+    left, kept = {0: most_bytes, 1: most_bytes}, []
+    for i, y in picked:
+        if i in size and size[i] <= left[y]:
+            left[y] -= size[i]
+            kept.append((i, y))
+    return joined(found.drop("y", "n"), kept)

@@ -5,26 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lookup, materialize
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` (a, b), about ``total`` of them, with the least b of each a.  The centre of a large
+    star holds a large share of the rows: such nodes are looked up by broadcast."""
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    return lookup(rows, materialize(least, "least"), "a", "n", total)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Hang every larger neighbour of a node on the smallest node of its neighbourhood."""
-    near = _both_ways(edges)
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return near.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    near = _with_least(_both_ways(edges), 2 * total).withColumn("m", F.least("a", "m"))
+    return near.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Hang every smaller neighbour of a node, and the node, on the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    joined = _with_least(down, total)
+    moved = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(joined.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,7 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
         if (state["n"], state["h"]) == seen or not state["n"]:
             break
         seen = (state["n"], state["h"])
-        current = materialize(_small_star(_large_star(current)), "star")
+        large = materialize(_large_star(current, state["n"]), "large-star")
+        current = materialize(_small_star(large, state["n"]), "star")
     return (
         current.select(F.col("a").alias("node"), F.col("b").alias("label"))
         .unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("label")))

@@ -6,11 +6,13 @@ rotation by one place).  The vectors of all trigrams of a text are bundled by ad
 are the texts of a language, each scaled to length one: its prototype.  A document gets the language whose prototype has the largest
 cosine with its own vector.
 
-Letters are folded to lower case, everything between them counts as one blank.
+Letters (the characters that Unicode calls letters, so no digits, numbers or marks of any script) are
+folded to lower case, everything between them counts as one blank.
 
-Edge cases: a text that is null or holds no letter is ``und`` with score 0; repeated rows get equal
-results; with no language to learn from, every text is ``und``; ties go to the language first in
-order.
+Edge cases: a text that is null or holds no letter is ``und`` with score 0; very long texts are bundled
+in parts; repeated rows get equal results; with no language to learn from, every text is ``und``; ties
+go to the language first in order; an empty table gives an empty result; an input column named like
+an output gives way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, crc_bucket
+from .common import annotate, column, crc_bucket
 
 #: Places of a vector, rows of the letter table (letters beyond it share rows by a hash).
 DIMENSIONS, LETTERS, RANDOM = 512, 2048, 5
@@ -31,10 +33,23 @@ DIMENSIONS, LETTERS, RANDOM = 512, 2048, 5
 SAMPLE = 1500
 #: Trigram vectors kept bound by a worker, and trigrams bundled at once; bounds memory.
 KNOWN, PART = 16_000, 4096
+#: Languages that are learned, at most, commonest first: bounds the model and what the driver collects.
+MOST_LANGUAGES = 1024
 
 _GAPS = re.compile(r"[\W\d_]+")
 
 
+def letters_of(text: str) -> str:
+    """The letters of a text, lower case, with one blank for whatever stands between them."""
+    folded = _GAPS.sub(" ", text.lower())
+    if not folded.isascii():
+        # some numbers of other scripts count as parts of words, but are no letters
+        odd = [c for c in set(folded) if c != " " and not c.isalpha()]
+        if odd:
+            folded = re.sub(" +", " ", folded.translate(dict.fromkeys(map(ord, odd), " ")))
+    return folded.strip()
+
+
 def letter_table(dimensions: int = DIMENSIONS) -> list[np.ndarray]:
     """The letter vectors as they stand in the last, middle and first place of a trigram."""
     rng = np.random.default_rng(RANDOM)
@@ -51,7 +66,7 @@ class Bundler:
 
     def trigrams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct trigrams of a text as numbers, and how often each stands in it."""
-        folded = _GAPS.sub(" ", text.lower()).strip()
+        folded = letters_of(text)
         if not folded:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         code = np.frombuffer(f" {folded} ".encode("utf-32-le"), "<u4").astype(np.int64)
@@ -117,10 +132,11 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     are used whole; documents are chosen by a hash of their id.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
     rows = rows.filter(~exclude("id"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["count"] for r in common.collect()}
     if not counts:
         return Profiles([], np.zeros((0, DIMENSIONS), np.float32))
     rates = spark.createDataFrame(

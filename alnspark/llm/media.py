@@ -12,8 +12,10 @@ A task writes shards of its own (named after its attempt), so that a lost or rep
 touches another's file; rows only ever name shards of attempts that succeeded.  Equal payloads of
 several shards are all mapped to one of the copies.
 
-Edge cases: a null or empty text is one row of blanks; equal texts, repeated rows included, share
-all values; an empty table writes no shard.
+Edge cases: a null or empty text is one row of blanks; a very long text is one tall image; equal
+texts, repeated rows included, share all values, and of equally good places the first in the order
+of shards counts; an empty table writes no shard and gives an empty result.  ``media_columns`` reads
+the id and text columns only; in ``store`` a column named like an output gives way to it.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, bounded_batches, by_place, materialize, scratch, texts_of
+from .common import SLICE, by_place, column, lookup, materialize, scratch, texts_of
 
 ROW = 192
 #: Bytes after which a task begins a new shard, and the bytes of a PNG that hold its header.
@@ -115,7 +117,6 @@ PLACE = T.StructType([
 def store(docs: DataFrame, folder: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Write payloads to tar shards under ``folder``; appends ``n_bytes``, ``digest``, ``shard``,
     ``offset`` and ``length``.  The result is written out, as shards must not be written twice."""
-    bounded_batches(docs.sparkSession)
     new = {f.name for f in PLACE}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     out = T.StructType([docs.schema[c] for c in kept] + PLACE.fields)
@@ -161,9 +162,9 @@ def store(docs: DataFrame, folder: str, text_col: str = "text", keep: list[str]
 
 
 def by_shard(table: DataFrame) -> DataFrame:
-    """Deal shards out to tasks, about one to each, in the order of their offsets."""
-    shards = table.select("shard").distinct().count()
-    return table.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "offset")
+    """Deal payloads out to tasks by ranges of shards and offsets, which evens out their numbers."""
+    tasks = max(1, table.select("shard").distinct().count())
+    return table.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def _ranges(table: DataFrame, folder: str, fields: list[T.StructField], read) -> DataFrame:
@@ -225,9 +226,11 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Stored bytes are read once per distinct payload, whatever the number of rows that share it.
     """
     folder = folder or scratch(docs.sparkSession, "media")
-    rows = store(docs, folder, text_col, keep=[id_col])
-    places = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p"))
-    places = by_shard(places.select("digest", "p.shard", "p.offset", "p.length"))
+    rows = store(docs.select(column(id_col).alias("id"), column(text_col).alias("text")), folder, "text", keep=["id"])
+    places = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p"), F.count("*").alias("copies"))
+    places = by_shard(places.select("digest", "copies", "p.shard", "p.offset", "p.length"))
     filled = materialize(read_back(fill_metadata(places, folder), folder), "media-columns")
-    out = rows.select(F.col(id_col), "n_bytes", "digest").join(filled, "digest")
-    return out.withColumns({c: F.lower(F.hex(c)) for c in ("digest", "payload_sha256", "media_sha256")})
+    # a payload that many rows share is looked up by broadcast
+    out = lookup(rows.select("id", "n_bytes", "digest"), filled, "digest", "copies", rows.count())
+    hexed = {c: F.lower(F.hex(c)) for c in ("digest", "payload_sha256", "media_sha256")}
+    return out.withColumns(hexed).withColumnRenamed("id", id_col)

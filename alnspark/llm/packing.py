@@ -10,11 +10,15 @@ simply run again.  Sequence ids are the partition number times 2**40 plus a coun
 
 ``pack_texts`` may cut: whole sequences are cut off long documents, and when no remainder fits a
 gap, the best one is cut to fill it.  What the last sequences of a partition leave over is cut at
-powers of two, so that nothing is padded.  ``pack_examples`` never cuts.
-
-Edge cases: a null or empty text is the terminator alone; repeated rows are packed separately; a
-null id stays null; an example larger than a limit by itself raises ``ValueError`` in
-``pack_examples``.
+powers of two, so that nothing is padded.  Every token of a piece but its first bears loss, so a limit
+on those below the limit on tokens makes pieces shorter and sequences of several pieces fuller.
+``pack_examples`` never cuts.
+
+Edge cases: a null or empty text is the terminator alone; a very long text is cut into many whole
+sequences; of equally good examples the first that came is taken; repeated rows are packed
+separately; a null id stays null; an example larger than a limit by itself raises ``ValueError`` in
+``pack_examples``; an empty table gives an empty result.  ``pack_texts`` reads the id and text columns
+only; in ``pack_examples`` a column named like an output gives way to it.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import PieceEncoder, default_path
-from .common import SLICE, bounded_batches, by_place, texts_of
+from .common import SLICE, by_place, texts_of
 
 #: Examples held for one round of packing, and how many are kept back for the next round.
 BLOCK, KEPT_BACK = 1024, 128
@@ -84,9 +88,10 @@ class Packer:
                 room -= self.size[:, best]
                 tokens[best] = TAKEN
                 left -= 1
-            if cut and left and room[0] >= 1 and room[1] >= 1 and room[2] >= room[0] - 1:
+            if cut and left and room[0] >= 1 and room[1] >= 1:
                 best = int(np.where(tokens < TAKEN, tokens, -1.0).argmax())
-                (head, _), (tail, rest) = cut(self.items[best], int(room[0]))
+                # a piece of n tokens bears n - 1 losses; nothing fits, so the longest is longer
+                (head, _), (tail, rest) = cut(self.items[best], int(min(room[0], room[2] + 1)))
                 own.append(head)
                 self.items[best] = tail
                 self.size[:, best] = rest
@@ -157,7 +162,6 @@ def pack_texts(
     Columns: the id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``,
     ``offset`` and, if asked, ``ids``.  Only the id column is carried along.
     """
-    bounded_batches(docs.sparkSession)
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = T.StructType(
         [T.StructField(id_col, docs.schema[id_col].dataType)]
@@ -168,9 +172,8 @@ def pack_texts(
 
     arrow = to_arrow_schema(schema)
     full = limits.tokens
-    longest = min(full, limits.loss + 1)
-    if longest < full:
-        raise ValueError("the loss limit must let one piece fill a sequence")
+    # a whole sequence of one piece: all tokens, or the largest power of two that the loss limit lets through
+    longest = full if limits.loss >= full - 1 else powers(limits.loss + 1)[0]
     end = int(terminator).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,14 +188,18 @@ def pack_texts(
             for p in pieces:
                 row = [p.doc, p.start, p.length, zlib.crc32(p.ids), p.doc_tokens, base + made, offset]
                 if with_ids:
-                    row.append(np.frombuffer(p.ids, "<u4").astype(np.int32))
+                    row.append(p.ids)
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
                 offset += p.length
             made += 1
 
         def flush():
-            arrays = [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]
+            arrays = [pa.array(c, f.type) for c, f in zip(columns[: 1 + len(names)], arrow, strict=False)]
+            if with_ids:
+                offsets = np.concatenate(([0], np.cumsum(columns[2]))).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(columns[-1]), "<i4"))
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), values).cast(arrow[-1].type))
             for c in columns:
                 c.clear()
             return pa.RecordBatch.from_arrays(arrays, schema=arrow)
@@ -204,9 +211,9 @@ def pack_texts(
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts_of(part.column(1))), strict=True):
                     ids += end
                     n = len(ids) // 4
-                    whole = n - n % full
-                    for start in range(0, whole, full):
-                        emit([Piece(doc, start, ids[4 * start : 4 * (start + full)], n)])
+                    whole = n - n % longest
+                    for start in range(0, whole, longest):
+                        emit([Piece(doc, start, ids[4 * start : 4 * (start + longest)], n)])
                     if n > whole:
                         rest.append(Piece(doc, whole, ids[4 * whole :], n))
                 packer.add(rest, [p.vector() for p in rest])
@@ -230,7 +237,6 @@ def pack_examples(
 ) -> DataFrame:
     """Place whole examples (instruction data) by their counts; appends ``sequence_id``, ``slot``
     (place within the sequence) and ``offset`` (tokens before it there).  Null counts are zero."""
-    bounded_batches(examples.sparkSession)
     new = ["sequence_id", "slot", "offset"]
     kept = [c for c in examples.columns if c.lower() not in new]
     schema = T.StructType([examples.schema[c] for c in kept] + [T.StructField(n, T.LongType()) for n in new])

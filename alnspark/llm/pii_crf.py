@@ -5,19 +5,25 @@ numbers), leftmost and non-overlapping for each kind; matches that fail their ch
 The random field adds spans that no pattern names: secrets such as access tokens, spelled-out
 e-mail addresses, and phone numbers without a country code.  It reads word-shape features, is trained
 on a small labelled table, and is decoded by Viterbi over numpy batches.  Its chains are the
-stretches of words around words that hold a digit, an @ or ``dot``: ``CONTEXT`` words on each side.
+stretches of words around words that hold a digit, an @ or ``dot``, or that are assigned to a cue such
+as ``password``: ``CONTEXT`` words on each side.  Other text is not decoded.
 Spans it finds that touch a base span are dropped; base spans always stay.
 
 Offsets are code points, end exclusive.
 
-Edge cases: a null or empty text has no spans; repeated rows get equal results.
+Edge cases: a null or empty text has no spans; very long texts are read whole, and a chain of any
+length is decoded in bounded memory; of equally likely tags the first in order is taken; repeated rows
+get equal results; an empty table gives an empty result; an input column named like an output gives
+way to it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,6 +34,8 @@ from .common import annotate
 #: Kinds in the order in which spans are listed; the first four are the base kinds.
 KINDS = ["email", "ip", "card", "phone", "secret"]
 CONTEXT = 3
+#: Words decoded side by side, and words of a stretch of a longer chain; bounds memory.
+CELLS, STRETCH = 1 << 14, 1 << 12
 
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -36,6 +44,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
+#: What names a secret, then an equals sign or a colon, then the first character of its value.
+SECRET_NAMES = ["password", "passwd", "passphrase", "secret", "token", "api_key"]
+_ASSIGNED = re.compile(r"(?i)(?:" + "|".join(SECRET_NAMES) + r")[\"']?[ \t]*(?:=|:(?!//))[ \t]*[\"']?[^\s\"'=]")
+_ASSIGN_SIGN = re.compile(r"[=:]")
 
 
 def _luhn(digits: str) -> bool:
@@ -96,6 +108,17 @@ LABELLED = [
     'token secret{e51a5499e3950eabef3742d6cf40b27b4e61a74a} was used again',
     'the key secret{ghp_16C7e42F292c6912E7710c838347Ae178B4a} leaked',
     "bearer secret{eyJhbGciOiJIUzI1NiJ9} in the header",
+    "password = secret{correcthorsebattery} for the box",
+    "the password = secret{swordfish} of old",
+    "password: secret{openSesame} is set",
+    "set passwd=secret{letmeinplease} now",
+    'secret = "secret{QWxhZGRpbjpvcGVuc2VzYW1l}" is in the file',
+    "token = secret{qwertyuiopasdfghjkl} and on",
+    "api_key: secret{zKpWqTrYvNmLsDfGhJkX} goes here",
+    "the secret: nobody came and all was well",
+    "his secret : he was a king of the land",
+    "one token: the sign of a good friend",
+    "of secret = word and word it was said",
     "mail email{anna at example dot com} for more",
     "write to email{j.doe at mail4 dot example dot org} today",
     "ask email{info (at) site (dot) net} about it",
@@ -135,19 +158,26 @@ LABELLED = [
 _MARKED = re.compile(r"(email|phone|secret)\{([^}]*)\}")
 _TAG_KINDS = ["email", "phone", "secret"]
 TAGS = ["O", *(f"{p}-{k}" for k in _TAG_KINDS for p in "BI")]
-_CUES = {"token", "key", "api_key", "password", "secret", "bearer", "tel", "phone", "call", "at", "dot", "(at)", "(dot)", "=", "export", "me"}
+_CUES = {"token", "key", "api_key", "password", "passwd", "passphrase", "secret", "bearer", "tel", "phone", "call", "at", "dot", "(at)", "(dot)", "=", "export", "me"}
 _KIND = {**{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "9" for c in "0123456789"}}
 
 
+#: Shapes of so many marks or more are all alike.
+LONG_SHAPE = 6
+
+
 def shape(word: str) -> str:
-    """The kinds of characters of a word, runs collapsed: A, a, 9, and marks as they are."""
+    """The kinds of characters of a word, runs collapsed: A, a, 9, and marks as they are; ``long`` if
+    there are ``LONG_SHAPE`` of them."""
     out, last = [], ""
-    for c in word[:64]:
+    for c in word:
         k = _KIND.get(c) or ("a" if c.isalpha() else c)
         if k != last:
             out.append(k)
+            if len(out) == LONG_SHAPE:
+                return "long"
         last = k
-    return "".join(out[:12])
+    return "".join(out)
 
 
 def word_features(word: str) -> list[str]:
@@ -164,19 +194,22 @@ def word_features(word: str) -> list[str]:
         f"hex={hexes}",
         f"digits={min(digits, 4)},alpha={core.isalpha()}",
         f"cue={cue}",
-        f"shape={shape(core) if len(shape(core)) < 6 else 'long'}",
+        f"shape={shape(core)}",
         f"open={word[:1] in '(['},dash={'-' in core}",
+        f"assigned={'=' in core and core[: core.index('=')].lower() in _CUES}",
     ]
 
 
-def chain_features(words: list[str]) -> list[list[str]]:
-    """Features of every word of a chain: its own and those of its neighbours."""
-    own = [word_features(w) for w in words]
+def chain_features(words: list[str], first: int = 0, last: int | None = None) -> list[list[str]]:
+    """Features of the words of a chain (from ``first`` to before ``last``): a word's own and those of
+    its neighbours."""
+    last = len(words) if last is None else last
+    own = {i: word_features(words[i]) for i in range(max(first - 2, 0), min(last + 1, len(words)))}
     out = []
-    for i, fs in enumerate(own):
-        found = list(fs)
+    for i in range(first, last):
+        found = list(own[i])
         for name, j in (("<", i - 1), ("<<", i - 2), (">", i + 1)):
-            if 0 <= j < len(own):
+            if 0 <= j < len(words):
                 found += [f"{name}{own[j][4]}", f"{name}{own[j][3]}"]
             else:
                 found.append(f"{name}end")
@@ -217,10 +250,11 @@ class Crf:
     moves: np.ndarray  # tags x tags
     begin: np.ndarray
 
-    def emissions(self, words: list[str]) -> np.ndarray:
+    def emissions(self, words: list[str], first: int = 0, last: int | None = None) -> np.ndarray:
         get = self.number.get
-        out = np.zeros((len(words), len(TAGS)))
-        for i, fs in enumerate(chain_features(words)):
+        rows = chain_features(words, first, last)
+        out = np.zeros((len(rows), len(TAGS)))
+        for i, fs in enumerate(rows):
             known = [k for f in fs if (k := get(f)) is not None]
             out[i] = self.weights[known].sum(axis=0)
         return out
@@ -266,11 +300,21 @@ class Crf:
         return cls(number, *params)
 
     def decode(self, chains: list[list[str]]) -> list[np.ndarray]:
-        """The likeliest tags of each chain; chains of like length are decoded side by side."""
+        """The likeliest tags of each chain.  Chains of like length are decoded side by side, at most
+        ``CELLS`` words (the longest times their number) at once; a longer chain is decoded alone,
+        in stretches that hand their scores on."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chains)
-        order = sorted((i for i in range(len(chains)) if chains[i]), key=lambda i: len(chains[i]))
-        for at in range(0, len(order), 256):
-            own = order[at : at + 256]
+        order = sorted((i for i in range(len(chains)) if len(chains[i])), key=lambda i: len(chains[i]))
+        at = 0
+        while at < len(order):
+            if len(chains[order[at]]) > CELLS:
+                out[order[at]] = self._decode_long(chains[order[at]])
+                at += 1
+                continue
+            end = at + 1
+            while end < len(order) and (end + 1 - at) * len(chains[order[end]]) <= CELLS:
+                end += 1
+            own, at = order[at:end], end
             lengths = np.array([len(chains[i]) for i in own])
             e = np.zeros((len(own), lengths.max(), len(TAGS)))
             for row, i in enumerate(own):
@@ -278,10 +322,7 @@ class Crf:
             best = self.begin + e[:, 0]
             came = np.zeros(e.shape, np.int8)
             for i in range(1, e.shape[1]):
-                via = best[:, :, None] + self.moves[None]
-                came[:, i] = via.argmax(axis=1)
-                stepped = via.max(axis=1) + e[:, i]
-                best = np.where((i < lengths)[:, None], stepped, best)
+                best, came[:, i] = self._step(best, e[:, i], i < lengths)
             tag = best.argmax(axis=1)
             tags = np.zeros(e.shape[:2], np.int64)
             for i in range(e.shape[1] - 1, -1, -1):
@@ -293,10 +334,51 @@ class Crf:
                 out[i] = tags[row, : lengths[row]]
         return out
 
-
-def chains_of(text: str) -> list[list[tuple[int, int]]]:
-    """Stretches of words (start, end) around words that hold a digit, an @ or ``dot``."""
-    if not (_TRIGGER.search(text) or "dot" in text):
+    def _step(self, best: np.ndarray, emission: np.ndarray, going_on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One step of Viterbi for chains side by side: the new scores, and the tags they came from."""
+        via = best[:, :, None] + self.moves[None]
+        return np.where(going_on[:, None], via.max(axis=1) + emission, best), via.argmax(axis=1)
+
+    def _decode_long(self, words: list[str]) -> np.ndarray:
+        """The same for one chain: one byte for each word and tag is held, scores of one stretch."""
+        came = np.zeros((len(words), len(TAGS)), np.int8)
+        best = None
+        for at in range(0, len(words), STRETCH):
+            for i, emission in enumerate(self.emissions(words, at, min(at + STRETCH, len(words))), at):
+                if best is None:
+                    best = (self.begin + emission)[None]
+                else:
+                    best, came[i] = self._step(best, emission[None], np.ones(1, bool))
+        tags = np.zeros(len(words), np.int64)
+        tag = int(best[0].argmax())
+        for i in range(len(words) - 1, -1, -1):
+            tags[i] = tag
+            tag = int(came[i, tag])
+        return tags
+
+
+class Words:
+    """The words of a chain, cut from the text when they are read."""
+
+    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray):
+        self.text, self.starts, self.ends = text, starts, ends
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, i: int) -> str:
+        return self.text[self.starts[i] : self.ends[i]]
+
+
+def chains_of(text: str) -> list[Words]:
+    """Stretches of words around words that hold a digit, an @ or ``dot``, and around what is assigned
+    to a cue (``password = ...``)."""
+    cues = []
+    if _ASSIGN_SIGN.search(text):
+        low = text.lower()
+        if any(name in low for name in SECRET_NAMES):
+            cues = [m.end() - 1 for m in _ASSIGNED.finditer(text)]
+    if not (cues or _TRIGGER.search(text) or "dot" in text):
         return []
     code = np.frombuffer(text.encode("utf-32-le"), "<u4")
     blank = (code == 32) | ((code >= 9) & (code <= 13))
@@ -307,16 +389,15 @@ def chains_of(text: str) -> list[list[tuple[int, int]]]:
     if "dot" in text:
         for i in np.flatnonzero((ends - starts >= 3) & (ends - starts <= 5)):
             odd[i] |= text[starts[i] : ends[i]].lower().strip("()[]") == "dot"
+    for at in cues:
+        odd[np.searchsorted(starts, at, side="right") - 1] = True
     near = np.zeros(len(odd) + 1, np.int64)
     at = np.flatnonzero(odd)
     np.add.at(near, np.maximum(at - CONTEXT, 0), 1)
     np.add.at(near, np.minimum(at + CONTEXT + 1, len(odd)), -1)
     inside = np.cumsum(near)[:-1] > 0
     edge = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
-    out = []
-    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-        out.append(list(zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)))
-    return out
+    return [Words(text, starts[a:b], ends[a:b]) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
 _CORE = {
@@ -331,12 +412,15 @@ def find_spans(texts: list[str], model: Crf) -> list[tuple[list, list]]:
     base = [base_spans(t) for t in texts]
     chains, owner = [], []
     for k, t in enumerate(texts):
-        for chain in chains_of(t):
-            chains.append(chain)
-            owner.append(k)
-    tags = model.decode([[texts[k][s:e] for s, e in c] for k, c in zip(owner, chains, strict=True)])
+        found = chains_of(t)
+        chains += found
+        owner += [k] * len(found)
     added: list[list] = [[] for _ in texts]
-    for k, chain, own in zip(owner, chains, tags, strict=True):
+    # base spans by their starts, with the furthest end so far
+    starts = [sorted(s for _, s, _ in own) for own in base]
+    reach = [list(accumulate((e for _, _, e in sorted(own, key=lambda x: x[1])), max)) for own in base]
+    for k, chain, own in zip(owner, chains, model.decode(chains), strict=True):
+        own = own.tolist()
         i = 0
         while i < len(own):
             if not own[i]:
@@ -345,13 +429,14 @@ def find_spans(texts: list[str], model: Crf) -> list[tuple[list, list]]:
             kind, j = TAGS[own[i]][2:], i + 1
             while j < len(own) and TAGS[own[j]] == f"I-{kind}":
                 j += 1
-            start, end = chain[i][0], chain[j - 1][1]
+            start, end = int(chain.starts[i]), int(chain.ends[j - 1])
             if core := _CORE[kind].search(texts[k][start:end]):
                 end = start + core.end()
                 start += core.start()
                 if kind == "secret" and "=" in (held := texts[k][start:end]):
                     start += held.rfind("=") + 1
-                if all(e <= start or s >= end for _, s, e in base[k]) and start < end:
+                before = bisect_left(starts[k], end)
+                if start < end and (not before or reach[k][before - 1] <= start):
                     added[k].append((KINDS.index(kind), start, end))
             i = j
     return list(zip(base, added, strict=True))

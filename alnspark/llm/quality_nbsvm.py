@@ -8,9 +8,10 @@ N-grams: words (lower case), and runs of one to three word shapes.  A shape keep
 characters of a word, runs collapsed (``Edge!!`` is ``Aa!``); a word equal to the one before it has
 the shape ``=``.
 
-Edge cases: a null or empty text has no n-grams and gets the score of the bias; repeated rows get
-equal scores; if only one class is labelled every score is that class (0 or 1), and without labels
-0.5.
+Edge cases: a null or empty text has no n-grams and gets the score of the bias; very long texts are
+read whole; repeated rows get equal scores; if only one class is labelled every score is that class
+(0 or 1), and without labels 0.5; a score of exactly 0.5 predicts 1; an empty table gives an empty
+result; an input column named like an output gives way to it.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from pyspark.sql import types as T
 
 from .common import annotate, crc_bucket, labelled_sample
 
-#: Labelled documents of each class that the model is fitted on, at most.
+#: Labelled documents of each class that the model is fitted on, at most (and at most
+#: ``common.SAMPLE_BYTES`` of their text).
 SAMPLE = 2500
-#: An n-gram counts if this many of the sampled documents hold it; so many are kept, commonest first.
-LEAST_DOCS, MOST_FEATURES = 4, 60_000
+#: An n-gram counts if this many of the sampled documents hold it.
+LEAST_DOCS = 4
 #: Smoothing of the ratios, cost of the hinge loss, rounds of descent.
 ALPHA, COST, ROUNDS, RANDOM = 1.0, 0.1, 30, 11
 
@@ -122,7 +124,7 @@ def train(examples: list[tuple[set, int]]) -> NbSvm:
     if y.min() == y.max():
         return NbSvm(constant=float(y[0]))
     tally = Counter(f for own, _ in examples for f in own)
-    names = [f for f, n in sorted(tally.items(), key=lambda x: (-x[1], repr(x[0]))) if n >= LEAST_DOCS][:MOST_FEATURES]
+    names = [f for f, n in sorted(tally.items(), key=lambda x: (-x[1], repr(x[0]))) if n >= LEAST_DOCS]
     number = {f: i for i, f in enumerate(names)}
     rows = [np.array(sorted(number[f] for f in own if f in number) + [len(names)], dtype=np.int64) for own, _ in examples]
     count = [ALPHA + np.bincount(np.concatenate([r for r, k in zip(rows, y, strict=True) if k == c]), minlength=len(names) + 1) for c in (0, 1)]

@@ -11,9 +11,11 @@ Slots number the rows of a shard without gaps: rows are spread evenly over chunk
 
 DataFrame functions only.
 
-Edge cases: a null text has no bytes (size 1) and goes with the empty texts; repeated rows stay
-together and get slots of their own; an empty table gives an empty result; shards may stay empty if
-there are fewer groups than shards.
+Edge cases: a null text has no bytes (size 1) and goes with the empty texts; a very long text is one
+size among others; of equally large units the first in the order of their names goes first, of
+equally loaded shards the first gets it; repeated rows stay together and get slots of their own; an
+empty table gives an empty result; shards may stay empty if there are fewer groups than shards; only
+the id and text columns are read, so others cannot clash with the output.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import column, materialize
 
 UNITS, CHUNKS = 16_384, 1024
 #: Rows of a chunk that are aimed at.
@@ -45,9 +47,9 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
     """One row per document: the id, ``size``, ``text_crc32``, ``law`` (``bytes``), ``shard``,
     ``slot`` and ``grown_shard`` (null: this law has no growth rule)."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    text = F.coalesce(column(text_col), F.lit(""))
     rows = docs.select(
-        F.col(f"`{id_col}`").alias("id"),
+        column(id_col).alias("id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text).alias("crc"),
         F.xxhash64(text).alias("key"),

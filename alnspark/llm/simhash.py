@@ -2,23 +2,27 @@
 
 Fingerprints: 64-bit SimHash of word shingles (XXH64).  Candidate search: an inverted index from
 byte positions and byte values to fingerprints, with count filtering.  Two fingerprints that differ
-in at most ``d`` bits agree in at least ``8 - d`` of their 8 bytes, so a pair is a candidate if its
-tally of shared positional bytes reaches that number.  Posting lists of single bytes would hold
-1/256 of the corpus, so the index is kept on sets of ``8 - d`` positions at once: a pair meets there
-exactly if its tally reaches the minimum.  Candidates are then verified bit by bit.
+in at most ``d`` bits agree in at least ``8 - d`` of their 8 bytes.  Posting lists of single bytes
+would hold 1/256 of the corpus, so lists are kept for sets of ``8 - d`` positions at once: a pair
+shares such a list exactly if its tally of equal positional bytes reaches the minimum.  Of the pairs
+that meet in a list the tally is taken, those below the minimum (lists meet by a hash) are dropped,
+and the rest are verified bit by bit.
 
 Only distinct fingerprints enter the index, so any number of exact copies costs one entry.  Within
 a posting list only a spanning forest of the links is written, never all pairs.  Lists longer than
 ``LIST_BOUND`` are not held in memory: their fingerprints are linked through the points within
-``d / 2`` bits, which is exact as well and linear in the list.
+``d / 2`` bits, which is exact as well and linear in the list.  Lists that a sample shows to be that
+long are not even dealt to a task; the sample decides about cost only.
 
 Components come from alternating star contraction over written tables; nothing grows on the driver.
-A fingerprint or component that holds a large share of all rows is looked up by broadcast (their
-number is bounded), so that its rows stay where they are.
+A fingerprint, node or component that holds a large share of all rows is looked up by broadcast
+(their number is bounded), so that its rows stay where they are.
 
 Edge cases: a null or empty text, or one without words, has fingerprint zero and is linked like any
-other; fewer words than a shingle make one shingle of all; repeated rows share a component; null
-ids take part, but are never the smallest id unless all ids of a component are null.
+other; fewer words than a shingle make one shingle of all; very long texts are hashed in blocks; a
+bit set in exactly half of the hashes is 0; repeated rows share a component; null ids take part, but
+are never the smallest id unless all ids of a component are null; an empty table gives an empty
+result; only the id and text columns are read, so others cannot clash with the output.
 """
 
 from __future__ import annotations
@@ -33,12 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, bounded_batches, fresh, lookup, materialize
+from .common import annotate, column, fresh, lookup, materialize
 from .components import components
 
 WORDS, BITS, SEED = 4, 4, 42
 #: Longest posting list that one task links in memory (8 bytes an entry).
 LIST_BOUND = 1 << 15
+#: Fingerprints by whose lists long ones are told beforehand, and the least entries there.
+SAMPLE, SEEN = 1 << 16, 8
 #: Shingles hashed at once; bounds memory for very long texts.
 BLOCK = 1 << 15
 
@@ -87,6 +93,20 @@ def fingerprints(docs: DataFrame, text_col: str = "text", words: int = WORDS, se
     return annotate(docs, text_col, make, [T.StructField("fp", T.LongType())], keep)
 
 
+def tally(difference: np.ndarray) -> np.ndarray:
+    """How many positional bytes are equal, from the exclusive or of two fingerprints."""
+    bits = difference | difference >> np.uint64(4)
+    bits |= bits >> np.uint64(2)
+    bits |= bits >> np.uint64(1)
+    return 8 - np.bitwise_count(bits & np.uint64(0x0101010101010101))
+
+
+def linked(difference: np.ndarray, bits: int) -> np.ndarray:
+    """Whether pairs are links, from their exclusive or: those whose tally reaches the minimum that
+    ``bits`` guarantees, verified bit by bit."""
+    return (tally(difference) >= 8 - bits) & (np.bitwise_count(difference) <= bits)
+
+
 def _links(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs of ``values`` that differ in at most ``bits`` bits.
 
@@ -102,7 +122,7 @@ def _links(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
             step = max(1, (1 << 22) // len(pool))
             for at in range(0, len(frontier), step):
                 part = frontier[at : at + step]
-                near = np.bitwise_count(part[:, None] ^ pool[None, :]) <= bits
+                near = linked(part[:, None] ^ pool[None, :], bits)
                 hit = near.any(axis=0) & (near_of < 0)
                 near_of[hit] = at + near[:, hit].argmax(axis=0)
             taken = near_of >= 0
@@ -138,7 +158,7 @@ def _posting_links(bits: int, bound: int):
             two = np.flatnonzero((lengths == 2) & (inner > 0) & (inner < last))
             if len(two):
                 a, b = fps[cut[two]], fps[cut[two] + 1]
-                near = np.bitwise_count(a ^ b) <= bits
+                near = linked(a ^ b, bits)
                 a_out.append(a[near])
                 b_out.append(b[near])
             for i in np.flatnonzero((lengths > 2) | (inner == 0) | (inner == last)):
@@ -186,23 +206,36 @@ def links(distinct: DataFrame, bits: int = BITS, bound: int = LIST_BOUND) -> Dat
     """Links (a, b) whose components are those of all pairs of ``fp`` within ``bits`` bits."""
     if bits not in (2, 4, 6):
         raise ValueError("bits must be 2, 4 or 6")
-    bounded_batches(distinct.sparkSession)
     masks = [sum(0xFF << (8 * p) for p in c) for c in combinations(range(8), 8 - bits)]
     # a key names its positions and holds their bytes; hashed to one number, unequal lists that
-    # happen to share a key only add candidates, which the verification drops
+    # happen to share a key only add candidates, which the tally drops
     keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)]
-    index = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
+
+    def indexed(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode(F.array(*keys)).alias("key"), "fp")
+
+    index, long = indexed(distinct), None
+    n = distinct.count()
+    if n > bound:
+        step = max(1, n // SAMPLE)
+        some = indexed(distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(step)) == 0))
+        least = max(SEEN, bound // step + 1)
+        hot = materialize(some.groupBy("key").count().filter(F.col("count") >= least).select("key"), "hot-keys")
+        if not hot.isEmpty():  # at most positions x SAMPLE / SEEN numbers
+            long = index.join(F.broadcast(hot), "key", "left_semi").select("fp").distinct()
+            index = index.join(F.broadcast(hot), "key", "left_anti")
     index = index.repartition("key").sortWithinPartitions("key")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     found = materialize(index.mapInArrow(_posting_links(bits, bound), schema), "links")
     pairs = found.filter("b IS NOT NULL").distinct()
-    long = found.filter("b IS NULL").select(F.col("a").alias("fp")).distinct()
+    rest = found.filter("b IS NULL").select(F.col("a").alias("fp")).distinct()
+    long = materialize(rest if long is None else rest.unionByName(long).distinct(), "long")
     return pairs if long.isEmpty() else pairs.unionByName(_ball_links(long, bits))
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int, seed: int) -> DataFrame:
     """(__id, fp, label, component_id) of every row; label is the smallest fingerprint reachable."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(column(id_col).alias("__id"), column(text_col).alias("text"))
     marked = materialize(fingerprints(rows, "text", words, seed, keep=["__id"]), "fingerprints")
     owners = marked.groupBy("fp").agg(F.min("__id").alias("first"), F.count("*").alias("copies"))
     owners = materialize(owners, "owners")
@@ -263,18 +296,21 @@ def first_of(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, m
     first = materialize(first.groupBy("label").agg(F.min("__id").alias("__id"), F.min("fp").alias("fp")), "first")
     repeated = materialize(marked.groupBy("__id").count().filter("count > 1 OR __id IS NULL").select("__id"), "repeated")
     wanted = fresh(docs, "__wanted")
-    by_id = F.col(f"`{id_col}`").eqNullSafe(F.col(wanted))
+    by_id = column(id_col).eqNullSafe(F.col(wanted))
     if repeated.isEmpty():
         return docs.join(first.select(F.col("__id").alias(wanted)), by_id, "left_semi")
     plain = first.join(repeated, "__id", "left_anti").filter("__id IS NOT NULL")
     out = docs.join(plain.select(F.col("__id").alias(wanted)), by_id, "left_semi")
     rows = docs.select(
-        F.col(f"`{id_col}`").alias("own"), F.col(f"`{text_col}`").alias("text"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        column(id_col).alias("own"), column(text_col).alias("text"),
+        F.struct(*[column(c) for c in docs.columns]).alias("row"),
     )
     rows = rows.join(repeated, F.col("own").eqNullSafe(F.col("__id")), "left_semi")
     rows = mark(rows, ["own", "row"])
     again = first.join(repeated.withColumnRenamed("__id", "r"), F.col("__id").eqNullSafe(F.col("r")), "left_semi")
     again = again.select(F.col("__id"), F.col("fp").alias("f"), "label")
     rows = rows.join(again, F.col("own").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("f")))
-    return out.unionByName(rows.dropDuplicates(["label"]).select("row.*"))
+    # of several rows the first in the order of all columns that have one
+    ordered = [c.name for c in docs.schema if not isinstance(c.dataType, (T.MapType, T.VariantType))]
+    least = F.min_by("row", F.struct(*[F.col("row").getField(c) for c in ordered]))
+    return out.unionByName(rows.groupBy("label").agg(least.alias("row")).select("row.*"))

@@ -15,8 +15,10 @@ to two, 2: up to five, 3: more).  The output is the expected severity, sum of k
 A document is rejected if P(grade >= 1) exceeds a threshold calibrated on the sample: at most
 ``CLEAN_LOSS`` of its rows not marked toxic lie above it, within 0.5 and 0.9.
 
-Edge cases: a null or empty text has no features and gets the severity of the cuts alone; repeated
-rows get equal results; without labels of both classes nothing is rejected and severity is 0.
+Edge cases: a null or empty text has no features and gets the severity of the cuts alone; very long
+texts are read whole; repeated rows get equal results; of equally likely grades the lowest is given;
+without labels of both classes nothing is rejected and severity is 0; an empty table gives an empty
+result; an input column named like an output gives way to it.
 """
 
 from __future__ import annotations
@@ -33,11 +35,12 @@ from pyspark.sql import types as T
 
 from .common import annotate, labelled_sample
 
-#: Labelled documents of each class that the model is fitted on, at most.
+#: Labelled documents of each class that the model is fitted on, at most (and at most
+#: ``common.SAMPLE_BYTES`` of their text).
 SAMPLE = 3000
 GRADES = 4
 GRADE_WORDS = (2, 5)
-LEAST_DOCS, LEAST_Z, MOST_FEATURES, PREFIXES = 3, 4.5, 20_000, (3, 4, 5, 6, 7)
+LEAST_DOCS, LEAST_Z, PREFIXES = 3, 4.5, (3, 4, 5, 6, 7)
 LEAST_RATIO, TOP_SHARE = 8.0, 0.25
 #: Share of the words of a text that a beginning opens, at least, to count.
 LEAST_RATE = 0.01
@@ -112,7 +115,7 @@ def marked_features(rows: list[tuple[dict[str, int], int]]) -> list[str]:
                 found.append((-z, f))
     found.sort()
     least = max(LEAST_Z, -TOP_SHARE * found[0][0]) if found else 0.0
-    return [f for z, f in found[:MOST_FEATURES] if -z >= least]
+    return [f for z, f in found if -z >= least]
 
 
 def without_copies(rows: list[tuple[dict[str, int], int]]) -> list[tuple[dict[str, int], int]]:
@@ -166,7 +169,9 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, size: int, classes:
             second[k] = 0.99 * second[k] + 0.01 * g * g
             move = 0.1 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)
             if k:
-                cuts = np.maximum.accumulate(cuts - move + 1e-3 * np.arange(classes - 1))
+                # cuts ascend by a little at least
+                gap = 1e-3 * np.arange(classes - 1)
+                cuts = np.maximum.accumulate(cuts - move - gap) + gap
             else:
                 w = np.maximum(w - move, 0.0)
     return w, cuts
