@@ -30,7 +30,7 @@ from .common import annotate
 #: Words and pieces kept per worker before the older half is let go, the bytes they may take, and the
 #: longest of them that are kept at all; bounds memory, never results.
 WORDS_KEPT, PIECES_KEPT = 600_000, 200_000
-BYTES_KEPT, LONGEST_KEPT = 96 << 20, 64
+BYTES_KEPT, LONGEST_KEPT = 48 << 20, 64
 #: What Python needs for an entry besides its characters and ids, about.
 ENTRY = 200
 

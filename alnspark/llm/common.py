@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..workspace import materialize, shared_path
 
-__all__ = ["annotate", "by_place", "column", "crc_bucket", "fresh", "labelled_sample", "lookup", "materialize", "scratch", "texts_of"]
+__all__ = ["annotate", "by_place", "column", "crc_bucket", "fresh", "labelled_sample", "lookup", "materialize", "release", "scratch", "texts_of"]
 
 #: Rows handled at once inside a Python worker; an Arrow batch itself is bounded by Spark (64 MB
 #: unless ``spark.sql.execution.arrow.maxBytesPerBatch`` says otherwise).
@@ -26,6 +27,16 @@ SAMPLE_BYTES = 16 << 20
 scratch = shared_path
 
 
+def release() -> None:
+    """Give memory that is free by now back to the system.  Python workers live on between tasks, and
+    what they once needed would be lacking to the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; nothing is lost
+        pass
+
+
 def column(name: str) -> Column:
     """A column by its whole name, whatever marks the name holds."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -82,6 +93,8 @@ def annotate(
                 texts = part.column(0).to_pylist() if nulls else texts_of(part.column(0))
                 values = [pa.array(v, t) for v, t in zip(fn(texts), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(list(part.columns[1:]) + values, names=names)
+        del fn
+        release()
 
     return source.mapInArrow(run, out)
 

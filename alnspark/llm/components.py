@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from .common import lookup, materialize
 
 
+#: Rows (of 16 bytes) that one task can take whatever their keys.
+ONE_TASK = 1 << 18
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 def _with_least(rows: DataFrame, total: int) -> DataFrame:
     """``rows`` (a, b), about ``total`` of them, with the least b of each a.  The centre of a large
-    star holds a large share of the rows: such nodes are looked up by broadcast."""
+    star holds a large share of the rows: such nodes are looked up by broadcast, unless one task
+    could take all rows."""
     least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    if total <= ONE_TASK:
+        return rows.join(least.drop("n"), "a")
     return lookup(rows, materialize(least, "least"), "a", "n", total)
 
 

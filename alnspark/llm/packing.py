@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import PieceEncoder, default_path
-from .common import SLICE, by_place, texts_of
+from .common import SLICE, by_place, release, texts_of
 
 #: Examples held for one round of packing, and how many are kept back for the next round.
 BLOCK, KEPT_BACK = 1024, 128
@@ -228,6 +228,8 @@ def pack_texts(
                 emit(recut)
         if columns[0]:
             yield flush()
+        del encoder, packer
+        release()
 
     return by_place(docs, [id_col, text_col]).mapInArrow(run, schema)
 

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import annotate, labelled_sample
+from .common import annotate, labelled_sample, release
 
 #: Labelled documents of each class that the model is fitted on, at most (and at most
 #: ``common.SAMPLE_BYTES`` of their text).
@@ -203,7 +203,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     rows = labelled_sample(docs, labels, label, sample, None, id_col, text_col)
     found = [(r["id"], r["y"], r["text"] or "") for r in rows.toLocalIterator()]
     found.sort(key=lambda r: (r[0], r[2]))
-    return train([(words_of(t), y) for _, y, t in found])
+    model = train([(words_of(t), y) for _, y, t in found])
+    del found
+    release()
+    return model
 
 
 def apply(docs: DataFrame, model: Ordinal, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -38,15 +38,42 @@ def brute_groups(texts):
     return group
 
 
-@pytest.mark.parametrize("short, pivots", [(64, 8), (2, 1)])
-def test_links_are_those_of_all_pairs(spark, monkeypatch, short, pivots):
-    monkeypatch.setattr(overlap.links, "__defaults__", (short, pivots))
+@pytest.mark.parametrize("block, spread", [(512, 64), (2, 1)])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, block, spread):
+    """With small blocks and copies of sets as well."""
+    monkeypatch.setattr(overlap.links, "__defaults__", (block,))
+    monkeypatch.setattr(overlap, "SPREAD", spread)
     texts = near_copies()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     kept = sorted(r.doc_id for r in overlap.keep_first(docs).collect())
     assert kept == sorted(set(brute_groups(texts)))
 
 
+def test_forests_span_all_near_pairs():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, (6, 8), dtype=np.uint64)
+    parity = np.repeat(base, 9, axis=0)
+    for k in range(len(parity)):
+        for b in rng.choice(512, rng.integers(0, 30), replace=False):
+            parity[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    n, label = rng.integers(150, 190, len(parity)), np.arange(len(parity))
+    label[::5] = 0
+
+    def groups(pairs):
+        group = {int(x): int(x) for x in label}
+        for i, js in pairs:
+            for j in js:
+                a, b = sorted((group[int(label[i])], group[int(label[j])]))
+                group = {k: a if v == b else v for k, v in group.items()}
+        return group
+
+    forest, every = list(overlap._forest(n, parity, label)), list(overlap._crossing(n, parity, label))
+    assert groups(forest) == groups(every) and sum(len(j) for _, j in forest) < len(set(label.tolist()))
+    plain = sum(int(label[i] != label[j] and 5 * n[j] >= 4 * n[i] and 4 * n[j] <= 5 * n[i]
+                    and 9 * int(np.bitwise_count(parity[i] ^ parity[j]).sum()) <= n[i] + n[j]) for i in range(len(n)) for j in range(i + 1, len(n)))
+    assert sum(len(j) for _, j in every) == plain
+
+
 def test_the_stage_drops_near_copies_that_are_far_in_simhash(spark):
     texts = near_copies()
     base = [t for t in texts[::6] if t][:12]
@@ -79,5 +106,5 @@ def test_bounds_drop_no_pair_at_the_threshold():
         common = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         one, other = (np.unique(np.concatenate([common, rng.integers(0, 2**64, n // 8, dtype=np.uint64)])) for _ in range(2))
         assert overlap.alike(one.data, other.data)
-        assert overlap.may_be_alike(overlap.wide(one), overlap.wide(other))
-        assert not overlap.may_be_alike(overlap.wide(one), overlap.wide(one + np.uint64(1))) or n == 5
+        far = np.bitwise_count(np.frombuffer(overlap.parity(one, 512), np.uint8) ^ np.frombuffer(overlap.parity(other, 512), np.uint8)).sum()
+        assert 9 * int(far) <= len(one) + len(other)
