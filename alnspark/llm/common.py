@@ -7,18 +7,22 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..workspace import materialize, shared_path
 
-__all__ = ["annotate", "by_place", "column", "crc_bucket", "fresh", "labelled_sample", "lookup", "materialize", "release", "scratch", "texts_of"]
+__all__ = ["annotate", "by_place", "column", "crc_bucket", "fresh", "labelled_sample", "lookup", "materialize", "release", "scratch", "small_batches",
+           "texts_of"]
 
 #: Rows handled at once inside a Python worker; an Arrow batch itself is bounded by Spark (64 MB
 #: unless ``spark.sql.execution.arrow.maxBytesPerBatch`` says otherwise).
 SLICE = 256
 
+#: Rows of an Arrow batch that the registered queries and the pipeline ask for.
+ARROW_ROWS = 2000
+
 #: A key is hot if it holds more than one in so many rows.
 HOT_KEYS = 4096
 #: Bytes of text of each class that a model is fitted on, at most: bounds the driver's memory.
@@ -27,6 +31,17 @@ SAMPLE_BYTES = 16 << 20
 scratch = shared_path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Ask for Arrow batches of ``ARROW_ROWS`` rows, where the session leaves the default of 10,000.
+
+    For jobs, not operators: the registered queries and the stages of the pipeline call it, as their
+    session is theirs to configure; no operator changes the session it is used in.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def release() -> None:
     """Give memory that is free by now back to the system.  Python workers live on between tasks, and
     what they once needed would be lacking to the next."""
