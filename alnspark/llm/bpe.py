@@ -27,12 +27,10 @@ from pyspark.sql import types as T
 
 from .common import annotate
 
-#: Words and pieces kept per worker before the older half is let go, the bytes they may take, and the
-#: longest of them that are kept at all; bounds memory, never results.
-WORDS_KEPT, PIECES_KEPT = 600_000, 200_000
-BYTES_KEPT, LONGEST_KEPT = 48 << 20, 64
-#: What Python needs for an entry besides its characters and ids, about.
-ENTRY = 200
+#: Words and pieces kept per worker before the older half is let go, and the longest of them (in
+#: characters) that are kept at all.  An entry so takes at most about 850 bytes, 250 as a rule, and
+#: memory is bounded; results never change.
+WORDS_KEPT, PIECES_KEPT, LONGEST_KEPT = 300_000, 150_000, 32
 
 # White space as the splitting pattern sees it (Unicode White_Space).
 _WS = "\\t-\\r \x85\xa0  -     　"
@@ -59,27 +57,24 @@ class _Odd(Exception):
 
 
 class _Kept(dict):
-    """Ids by piece, computed when first met.  Two generations: when the younger is full (by number or
-    by bytes) the older is let go, and what is still used moves up.  Long pieces are not kept: a text
-    without blanks is one piece, and whole documents would pile up."""
+    """Ids by piece, computed when first met.  Two generations: when the younger is full the older is
+    let go, and what is still used moves up.  Long pieces are not kept: a text without blanks is one
+    piece, and whole documents would pile up."""
 
-    def __init__(self, most: int, make, most_bytes: int = BYTES_KEPT):
+    def __init__(self, most: int, make):
         super().__init__()
         self.most, self.make, self.older = most, make, {}
-        self.most_bytes, self.held = most_bytes, 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) > LONGEST_KEPT:
-            return self.make(piece)
         ids = self.older.get(piece)
         if ids is None:
             ids = self.make(piece)
-        if len(self) >= self.most or self.held >= self.most_bytes:
+            if len(piece) > LONGEST_KEPT:
+                return ids
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-            self.held = 0
         self[piece] = ids
-        self.held += ENTRY + 4 * len(piece) + len(ids)
         return ids
 
 
@@ -87,6 +82,10 @@ def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, "<u4").tobytes()
 
 
+#: What byte-level vocabularies write for a space.
+_SPACE = "\u0120"
+
+
 class PieceEncoder:
     """Encodes texts to little-endian 32-bit ids, reusing what it has encoded before."""
 
@@ -96,7 +95,7 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.shown = {b: c for c, b in byte_characters().items()}  # for str.translate, by code
         self.pieces = _Kept(PIECES_KEPT, self._encode_piece)
         self.words = _Kept(WORDS_KEPT, self._encode_word)
@@ -104,7 +103,7 @@ class PieceEncoder:
     def _merged(self, piece: str) -> bytes:
         """Ids of a piece that is one match of the splitting pattern."""
         shown = piece.encode().decode("latin-1").translate(self.shown)
-        return _packed([t.id for t in self.model.tokenize(shown)])
+        return _packed([t.id for t in self.tokenize(shown)])
 
     def _encode_piece(self, piece: str) -> bytes:
         if piece[0] == " " and (known := self.words.get(piece[1:])) is not None:
@@ -119,6 +118,8 @@ class PieceEncoder:
     def _encode_word(self, word: str) -> bytes:
         """A word with the space before it.  If it is empty, or begins or ends with a blank, the
         space may belong to a longer run of blanks."""
+        if word.isascii() and word.isalpha():  # bytes that stand for themselves
+            return _packed([t.id for t in self.tokenize(_SPACE + word)])
         if _LETTERS_ONLY.fullmatch(word):
             return self._merged(" " + word)
         if not word or word[0].isspace() or word[-1].isspace():
