@@ -20,6 +20,8 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Iterable
+from operator import attrgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -78,8 +80,11 @@ class _Kept(dict):
         return ids
 
 
-def _packed(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, "<u4").tobytes()
+def _packed(ids: Iterable[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(list(ids), "<u4").tobytes()
+
+
+_id_of = attrgetter("id")
 
 
 #: What byte-level vocabularies write for a space.
@@ -103,7 +108,7 @@ class PieceEncoder:
     def _merged(self, piece: str) -> bytes:
         """Ids of a piece that is one match of the splitting pattern."""
         shown = piece.encode().decode("latin-1").translate(self.shown)
-        return _packed([t.id for t in self.tokenize(shown)])
+        return _packed(map(_id_of, self.tokenize(shown)))
 
     def _encode_piece(self, piece: str) -> bytes:
         if piece[0] == " " and (known := self.words.get(piece[1:])) is not None:
@@ -119,7 +124,7 @@ class PieceEncoder:
         """A word with the space before it.  If it is empty, or begins or ends with a blank, the
         space may belong to a longer run of blanks."""
         if word.isascii() and word.isalpha():  # bytes that stand for themselves
-            return _packed([t.id for t in self.tokenize(_SPACE + word)])
+            return _packed(map(_id_of, self.tokenize(_SPACE + word)))
         if _LETTERS_ONLY.fullmatch(word):
             return self._merged(" " + word)
         if not word or word[0].isspace() or word[-1].isspace():
