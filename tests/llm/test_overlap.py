@@ -38,7 +38,7 @@ def brute_groups(texts):
     return group
 
 
-@pytest.mark.parametrize("block, spread", [(512, 64), (2, 1)])
+@pytest.mark.parametrize("block, spread", [(2048, 64), (2, 1)])
 def test_links_are_those_of_all_pairs(spark, monkeypatch, block, spread):
     """With small blocks and copies of sets as well."""
     monkeypatch.setattr(overlap.links, "__defaults__", (block,))
