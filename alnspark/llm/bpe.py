@@ -94,7 +94,7 @@ _SPACE = "\u0120"
 class PieceEncoder:
     """Encodes texts to little-endian 32-bit ids, reusing what it has encoded before."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words_kept: int = WORDS_KEPT, pieces_kept: int = PIECES_KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -102,8 +102,8 @@ class PieceEncoder:
         self.library.encode_special_tokens = True
         self.tokenize = self.library.model.tokenize
         self.shown = {b: c for c, b in byte_characters().items()}  # for str.translate, by code
-        self.pieces = _Kept(PIECES_KEPT, self._encode_piece)
-        self.words = _Kept(WORDS_KEPT, self._encode_word)
+        self.pieces = _Kept(pieces_kept, self._encode_piece)
+        self.words = _Kept(words_kept, self._encode_word)
 
     def _merged(self, piece: str) -> bytes:
         """Ids of a piece that is one match of the splitting pattern."""

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import PieceEncoder, default_path
+from .bpe import WORDS_KEPT, PieceEncoder, default_path
 from .common import SLICE, by_place, release, texts_of
 
 #: Examples held for one round of packing, and how many are kept back for the next round.
@@ -156,11 +156,13 @@ def pack_texts(
     limits: Limits = Limits(),
     terminator: int = 0,
     with_ids: bool = False,
+    words_kept: int = WORDS_KEPT,
 ) -> DataFrame:
     """Encode whole texts, end each with ``terminator`` and pack them; one row per piece.
 
     Columns: the id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``,
-    ``offset`` and, if asked, ``ids``.  Only the id column is carried along.
+    ``offset`` and, if asked, ``ids``.  Only the id column is carried along.  ``words_kept``: encoded
+    words (and half as many pieces) that a worker keeps, a matter of memory against time alone.
     """
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = T.StructType(
@@ -177,7 +179,7 @@ def pack_texts(
     end = int(terminator).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path or default_path("byte_bpe_50k.json"))
+        encoder = PieceEncoder(path or default_path("byte_bpe_50k.json"), words_kept, words_kept // 2)
         packer = Packer(limits)
         base, made = TaskContext.get().partitionId() << 40, 0
         columns: list[list] = [[] for _ in schema]
