@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group of tables between jobs: a task holds one while it writes or reads.
+ROW_GROUP = 8 << 20
+
 #: Paths handed out in this process, for :func:`clean_up`.
 _GIVEN: list[str] = []
 
@@ -38,7 +41,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a cut in the lineage that
     survives lost executors, and one evaluation whatever is done with the result."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
