@@ -20,8 +20,8 @@ __all__ = ["annotate", "by_place", "column", "crc_bucket", "fresh", "labelled_sa
 #: unless ``spark.sql.execution.arrow.maxBytesPerBatch`` says otherwise).
 SLICE = 256
 
-#: Rows of an Arrow batch that the registered queries and the pipeline ask for.
-ARROW_ROWS = 2000
+#: Rows and bytes of an Arrow batch that the registered queries and the pipeline ask for.
+ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
 
 #: A key is hot if it holds more than one in so many rows.
 HOT_KEYS = 4096
@@ -32,7 +32,8 @@ scratch = shared_path
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Ask for Arrow batches of ``ARROW_ROWS`` rows, where the session leaves the default of 10,000.
+    """Ask for Arrow batches of ``ARROW_ROWS`` rows and ``ARROW_BYTES`` bytes, where the session leaves
+    the defaults of 10,000 and 64 MB.  Buffers of a batch are held by the JVM and by the worker.
 
     For jobs, not operators: the registered queries and the stages of the pipeline call it, as their
     session is theirs to configure; no operator changes the session it is used in.
@@ -40,6 +41,9 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def release() -> None:
