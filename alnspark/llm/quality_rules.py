@@ -2,21 +2,27 @@
 
 Exact rule statistics per document, base rules on them, and an isolation forest for the rest:
 random trees part a sample of statistics at random places, and documents that are parted from the
-others early (short paths) are anomalies.  Thresholds are calibrated on labelled rows: the forest reads by
-how much each rate exceeds the level that all but ``CLEAN_LOSS`` of the good rows stay under, and
-the threshold on its score keeps all but as many of them.
+others early (short paths) are anomalies.  Thresholds are calibrated on all labelled rows: the forest reads
+by how much each rate exceeds the level that all but ``CLEAN_LOSS`` of the good rows stay under, and
+the threshold on its score keeps all but as many of them.  Each tree draws its rows from all labelled rows.
+
+Rates are read in steps, so all labelled rows come down to a tally of few different rates; the driver
+holds that tally (at most ``(STEPS + 1) ** 6`` entries a class) and no text.
 
 Words are runs of characters other than blank and \\t \\n \\v \\f \\r.
 
 Edge cases: a null or empty text has no words, fails the base rules and is not kept; very long texts
 are counted whole; repeated rows get equal results; a score equal to the threshold is kept; without
 usable labels only the base rules decide; an empty table gives an empty result; an input column named
-like an output gives way to it.
+like an output gives way to it.  Ids labelled more than once count with their largest label; labels other
+than 0 and 1 are ignored.  Of an id that stands in several rows the shortest text counts, of equally long
+ones that with the least hash.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,12 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, labelled_sample
+from .common import annotate, column
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-#: Labelled rows of each class that the forest and its threshold are fitted on, at most (and at most
-#: ``common.SAMPLE_BYTES`` of their text).
-SAMPLE = 3000
 TREES, TREE_ROWS, CLEAN_LOSS, RANDOM = 100, 256, 0.002, 7
 BAD_SHARE = 0.1
 #: Rates are read in so many steps: small differences between ordinary documents are no anomalies.
@@ -40,6 +43,8 @@ _BLANKS = " \t\n\x0b\x0c\r"
 _FOLD = bytes([65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256)])
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: Rates that the forest reads.
+RATES = 6
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -100,14 +105,18 @@ class IsolationForest:
     norm: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = RANDOM) -> IsolationForest:
+    def fit(cls, x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = RANDOM, total: int | None = None,
+            draw: Callable[[np.random.Generator, int], np.ndarray] | None = None) -> IsolationForest:
+        """Each tree parts ``rows`` rows of ``x``.  If ``x`` holds equal rows once, ``total`` says how many
+        there are, and ``draw`` draws the places in ``x`` of so many of them."""
         rng = np.random.default_rng(seed)
-        rows = min(rows, len(x))
+        rows = min(rows, len(x) if total is None else total)
+        draw = draw or (lambda rng, n: rng.choice(len(x), n, replace=False))
         depth = int(np.ceil(np.log2(max(rows, 2))))
         feature, split, child, path, roots = [], [], [], [], []
         for _ in range(trees):
             roots.append(len(feature))
-            todo = [(rng.choice(len(x), rows, replace=False), 0, None)]
+            todo = [(draw(rng, rows), 0, None)]
             while todo:
                 own, at, parent = todo.pop()
                 node = len(feature)
@@ -160,34 +169,76 @@ class RuleModel:
         return self.forest.score(np.maximum(rates - self.level, 0.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-        sample: int = SAMPLE, clean_loss: float = CLEAN_LOSS) -> RuleModel:
-    """Fit the forest on sampled rows, a share of ``BAD_SHARE`` of them marked bad (as far as there
-    are such), and calibrate its threshold: at most ``clean_loss`` of the good rows with enough
-    words lie above it."""
-    rows = labelled_sample(docs, labels, label, sample, None, id_col, text_col)
-    fields = [T.StructField("n", T.LongType()), T.StructField("rates", T.ArrayType(T.DoubleType(), False))]
+def to_code(rates: list[float]) -> int:
+    """Rates in steps as the digits of one number."""
+    code = 0
+    for r in reversed(rates):
+        code = code * (STEPS + 1) + round(STEPS * r)
+    return code
+
+
+def from_codes(codes: np.ndarray) -> np.ndarray:
+    """The rates of each number that :func:`to_code` gave."""
+    return codes[:, None] // (STEPS + 1) ** np.arange(RATES) % (STEPS + 1) / STEPS
+
+
+def tally(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(y, code, count) over all labelled documents with enough words, each id once: how many rows of
+    each label have the rates of a code.  Only counts and codes are shuffled, no text."""
+    marked = labels.select(column(id_col).alias("__id"), column(label).cast("int").alias("y"))
+    marked = marked.filter(F.col("__id").isNotNull() & F.col("y").isin(0, 1)).groupBy("__id").agg(F.max("y").alias("y"))
+    texts = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = texts.filter(F.col("id").isNotNull()).withColumns({"size": F.octet_length("text"), "hash": F.xxhash64("text")})
 
     def make():
         def run(texts):
             found = [statistics(t) for t in texts]
-            return [[c[0] for c, _ in found], [r for _, r in found]]
+            return [[c[0] for c, _ in found], [to_code(r) for _, r in found]]
 
         return run
 
-    got = annotate(rows, "text", make, fields, keep=["id", "y"]).filter(F.col("n") >= MIN_WORDS)
-    found = sorted((r["id"], r["y"], tuple(r["rates"])) for r in got.collect())
-    good = np.array([r for _, y, r in found if y == 1])
-    if len(good) < 2:
+    fields = [T.StructField("n", T.LongType()), T.StructField("code", T.LongType())]
+    rows = annotate(texts, "text", make, fields, keep=["id", "size", "hash"])
+    rows = rows.groupBy("id").agg(F.min(F.struct("size", "hash", "n", "code")).alias("t"))
+    rows = rows.join(marked, F.col("id") == F.col("__id")).filter(F.col("t.n") >= MIN_WORDS)
+    return rows.groupBy("y", F.col("t.code").alias("code")).count()
+
+
+def _below(values: np.ndarray, counts: np.ndarray, share: float):
+    """The least of the values, each there so many times, that this share of all do not exceed."""
+    order = np.argsort(values)
+    reached = np.cumsum(counts[order])
+    return values[order[np.searchsorted(reached, np.ceil(share * reached[-1]))]]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
+        clean_loss: float = CLEAN_LOSS) -> RuleModel:
+    """Fit the forest on all labelled rows, bad ones drawn as a share of ``BAD_SHARE`` (as far as there
+    are such), and calibrate its threshold: at most ``clean_loss`` of all good rows with enough words lie
+    above it."""
+    found = tally(docs, labels, label, id_col, text_col).toArrow()
+    y, codes, counts = (np.asarray(found.column(c).combine_chunks()) for c in ("y", "code", "count"))
+    order = np.lexsort((codes, -y))  # good ones first
+    y, counts, rates = y[order], counts[order], from_codes(codes[order])
+    of_good = int((y == 1).sum())
+    good, ends = rates[:of_good], (np.cumsum(counts[:of_good]), np.cumsum(counts[of_good:]))
+    n_good, n_bad = (int(e[-1]) if len(e) else 0 for e in ends)
+    if n_good < 2:
         return RuleModel(None, 1.0)
-    bad = np.array([r for _, y, r in found if y == 0]).reshape(-1, good.shape[1])
-    some = np.random.default_rng(RANDOM).permutation(len(bad))
-    bad = bad[some[: int(len(good) * BAD_SHARE / (1 - BAD_SHARE))]]
-    level = np.sort(good, axis=0)[int(np.ceil((1 - clean_loss) * len(good))) - 1]
-    forest = IsolationForest.fit(np.maximum(np.vstack([good, bad]) - level, 0.0))
+    share = min(n_bad, int(n_good * BAD_SHARE / (1 - BAD_SHARE)))
+
+    def draw(rng: np.random.Generator, n: int) -> np.ndarray:
+        """Rows of all good ones and as many places for bad ones as make their share; all bad ones may
+        come to such a place."""
+        at = rng.choice(n_good + share, n, replace=False)
+        own = at[at < n_good]
+        bad = rng.choice(n_bad, n - len(own), replace=False)
+        return np.concatenate((np.searchsorted(ends[0], own, "right"), of_good + np.searchsorted(ends[1], bad, "right")))
+
+    level = np.array([_below(good[:, f], counts[:of_good], 1 - clean_loss) for f in range(RATES)])
+    forest = IsolationForest.fit(np.maximum(rates - level, 0.0), total=n_good + share, draw=draw)
     model = RuleModel(forest, 1.0, level)
-    scores = np.sort(model.score(good))
-    model.threshold = float(scores[int(np.ceil((1 - clean_loss) * len(scores))) - 1])
+    model.threshold = float(_below(model.score(good), counts[:of_good], 1 - clean_loss))
     return model
 
 

@@ -230,6 +230,27 @@ def test_isolation_forest_equals_its_definition():
     assert all(forest.path[n] <= 6 + quality_rules.path_norm(64) for n in range(len(forest.path)))
 
 
+def test_quality_rules_are_fitted_on_all_labelled_rows(spark):
+    """Levels and threshold are those of all 3,200 good rows; the last 40 by hash, with rates of their own, count."""
+    ids = [r.id for r in spark.range(3200).selectExpr("id", "xxhash64(id) as h").orderBy("h", "id").collect()]
+    words = [" ".join(f"w{i}x{k}" for k in range(60 + i)) + " " for i in range(3)]
+    texts = {i: words[i % 3].replace(" ", " # " if at >= 3160 else " ") for at, i in enumerate(ids)}
+    texts |= {i: words[i % 3].replace(" ", "### ") for i in range(3200, 3300)} | {3300: "few ## words", 3301: "## few"}
+    docs = spark.createDataFrame([*texts.items(), (0, texts[0] + "#" * 999), (None, "#")], "doc_id long, text string").repartition(7)
+    labels = [(i, int(i < 3200 or i > 3299)) for i in texts] + [(1, 0), (2, 5), (None, 1), (9999, 0)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality_rules.fit(docs, labels)
+    good = np.array([quality_rules.statistics(texts[i])[1] for i in range(3200)])
+    bad = np.array([quality_rules.statistics(texts[i])[1] for i in range(3200, 3300)])
+    last = int(np.ceil((1 - quality_rules.CLEAN_LOSS) * 3200)) - 1
+    assert (model.level == np.sort(good, axis=0)[last]).all() and model.level[0] == 0.5
+    assert model.threshold == np.sort(model.score(good))[last]
+    found = {(r.y, r.code): r["count"] for r in quality_rules.tally(docs, labels).collect()}
+    assert found == collections.Counter((y, quality_rules.to_code(r)) for y, rates in ((1, good), (0, bad)) for r in rates)
+    codes = np.array([c for _, c in found])
+    assert [quality_rules.to_code(r) for r in quality_rules.from_codes(codes)] == codes.tolist()
+
+
 def test_columns_named_like_outputs_give_way(spark):
     clash = "score double, predicted string, ids string, spans int, fp string, digest int, shard string, grade string, lang_pred int, kept string, `a.b` int"
     names = re.findall(r"(?:^|, )(`a\.b`|\w+)", clash)
