@@ -5,7 +5,8 @@ of the blocks in order (``blocks``), which is written last and makes the folder
 is written and read without any bytes of blocks passing through the driver; :func:`join` makes one
 file of it.
 
-Reading: the driver walks block headers (of a folder, the list); each block is one input partition.
+Reading: the driver walks block headers (of a folder, the list); an input partition is one block, or
+several small ones that follow each other.  The file header is read once, for all of them.
 ``view`` says what is read, as a Python source cannot be pruned by column: ``records``, ``edges``,
 ``queries`` (ids and names from the flags, without bitmaps) or ``index`` (one row a block).  Bitmaps
 are taken apart 65,536 numbers at a time, so that a dense block is never held as numbers.
@@ -41,7 +42,10 @@ VIEWS = {
              "has_names boolean, foreign long",
 }
 #: Hits after which a block is cut, and hits of one batch that a reader gives.
-MOST_HITS, BATCH_HITS = 1 << 24, 1 << 20
+MOST_HITS, BATCH_HITS = 1 << 22, 1 << 20
+#: Bytes of small blocks that one task reads: so many, or what makes ``READ_TASKS`` tasks if that is
+#: less, but not below the least.
+READ_BYTES, READ_LEAST, READ_TASKS = 1 << 20, 1 << 16, 64
 CHUNK = 1 << 22
 
 
@@ -71,6 +75,13 @@ def read_head(uri: str) -> tuple[layout.FileHeader, str, list[str], int]:
     return head, sample, targets, layout.FILE_HEADER.size + head.flags_len
 
 
+def read_header(uri: str) -> layout.FileHeader:
+    """The file header alone, without sample and target names."""
+    system, path = file_system(f"{uri}/head" if is_folder(uri) else uri)
+    with system.open_input_file(path) as f:
+        return layout.FileHeader.unpack(f.read_at(layout.FILE_HEADER.size, 0))
+
+
 def walk_blocks(uri: str) -> Iterator[tuple[int, layout.BlockHeader]]:
     """Offset and header of every block of a file, reading headers only; anything after the last is
     an error."""
@@ -87,14 +98,35 @@ def walk_blocks(uri: str) -> Iterator[tuple[int, layout.BlockHeader]]:
             at += length
 
 
-class BlockAt(InputPartition):
+class BlockAt:
     """Where a block lies; its ids' range, if the list of a folder says it."""
 
     def __init__(self, number: int, uri: str, offset: int, length: int, ids: tuple[int, int] | None = None):
-        super().__init__(number)
         self.number, self.uri, self.offset, self.length, self.ids = number, uri, offset, length, ids
 
 
+class Blocks(InputPartition):
+    """Blocks that one task reads, and the header of their container."""
+
+    def __init__(self, number: int, blocks: list[BlockAt], promised: layout.FileHeader):
+        super().__init__(number)
+        self.blocks, self.promised = blocks, promised
+
+
+def in_groups(blocks: list[BlockAt]) -> Iterator[list[BlockAt]]:
+    """Blocks in order, small ones together."""
+    most = min(READ_BYTES, max(READ_LEAST, sum(b.length for b in blocks) // READ_TASKS))
+    held, size = [], 0
+    for b in blocks:
+        if held and size + b.length > most:
+            yield held
+            held, size = [], 0
+        held.append(b)
+        size += b.length
+    if held:
+        yield held
+
+
 def block_list(uri: str) -> Iterator[BlockAt]:
     """The blocks of a container in order."""
     if not is_folder(uri):
@@ -176,17 +208,30 @@ def _rows(chunks: Iterator[np.ndarray], n_targets: int, ids: np.ndarray, names:
         query, target = query[cut:], target[cut:]
 
 
+def _foreign(query: np.ndarray, ids: np.ndarray) -> int:
+    """Numbers whose query is none of the ascending ids."""
+    if not len(ids):
+        return len(query)
+    place = np.minimum(np.searchsorted(ids, query), len(ids) - 1)
+    return int((ids[place] != query).sum())
+
+
 class ContainerReader(DataSourceReader):
     def __init__(self, path: str, view: str):
         self.path, self.view, self.query_id = path, view, None
 
     def partitions(self):
-        """One for each block; blocks of a folder whose ids do not reach a wanted one are left out."""
+        """Groups of blocks; blocks of a folder whose ids do not reach a wanted one are left out."""
         wanted = self.query_id
-        return [b for b in block_list(self.path) if wanted is None or b.ids is None or b.ids[0] <= wanted <= b.ids[1]]
+        blocks = [b for b in block_list(self.path) if wanted is None or b.ids is None or b.ids[0] <= wanted <= b.ids[1]]
+        promised = read_header(self.path)
+        return [Blocks(i, group, promised) for i, group in enumerate(in_groups(blocks))]
+
+    def read(self, part: Blocks) -> Iterator[pa.RecordBatch]:
+        for block in part.blocks:
+            yield from self.read_block(block, part.promised)
 
-    def read(self, block: BlockAt) -> Iterator[pa.RecordBatch]:
-        promised, _, _, _ = read_head(self.path)
+    def read_block(self, block: BlockAt, promised: layout.FileHeader) -> Iterator[pa.RecordBatch]:
         system, path = file_system(block.uri)
         with system.open_input_file(path) as f:
             head = layout.BlockHeader.unpack(f.read_at(layout.BLOCK_HEADER.size, block.offset))
@@ -213,7 +258,7 @@ class ContainerReader(DataSourceReader):
             own = None if names is None else [names[i] for i in order]
             yield from _rows(chunks, n_targets, sorted_ids, own, block.number)
             return
-        foreign = sum(int(np.isin(bits // n_targets, sorted_ids, invert=True).sum()) for bits in chunks)
+        foreign = sum(_foreign(bits // n_targets, sorted_ids) for bits in chunks)
         first, last = (int(sorted_ids[0]), int(sorted_ids[-1])) if len(sorted_ids) else (-1, -1)
         numbers = [block.number, block.offset, head.num_records]
         rest = [head.flags_len, head.block_len, first, last]
