@@ -24,10 +24,20 @@ def fail(name: str, what: Column | str) -> Column:
     return F.raise_error(F.concat(F.lit(f"{name}: "), what if isinstance(what, Column) else F.lit(what)))
 
 
+def _up_to(most: int) -> str:
+    """A pattern of the decimal numbers up to ``most``, zeros before them allowed."""
+    digits = str(most)
+    below = [f"{digits[:i]}[0-{int(d) - 1}][0-9]{{{len(digits) - i - 1}}}" for i, d in enumerate(digits) if d != "0"]
+    return f"0*(?:[0-9]{{1,{len(digits) - 1}}}|{'|'.join(below)}|{digits})"
+
+
+U32_PATTERN = rf"^\+?{_up_to(U32_MAX)}$"
+
+
 def u32(text: Column) -> Column:
-    """Strict parse of an unsigned 32-bit number: digits with at most a plus before them."""
-    value = F.when(text.rlike(r"^\+?[0-9]+$"), text.try_cast("long"))
-    return F.when(value <= U32_MAX, value).otherwise(
+    """Strict parse of an unsigned 32-bit number: digits with at most a plus before them.  The pattern
+    tells all, so that each text is matched and cast once."""
+    return F.when(text.rlike(U32_PATTERN), text.try_cast("long")).otherwise(
         fail("CorruptedInputErr", F.concat(F.lit("not a 32-bit number: "), F.coalesce(text, F.lit("nothing")))).cast("long")
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,14 @@ def dictionary(names: DataFrame, position: str, name: str, kind: str) -> DataFra
     return dense_rank_by(first, "first", f"{kind}_id").select(f"{kind}_id", f"{kind}_name")
 
 
+def dense_places(rows: DataFrame, key: str) -> Column | None:
+    """Places of rows by a unique key, if its values follow each other without a gap; else nothing."""
+    r = rows.agg(F.count("*").alias("n"), F.count(key).alias("keys"), F.min(key).alias("least"), F.max(key).alias("most")).first()
+    if r["n"] != r["keys"] or (r["n"] and r["most"] - r["least"] + 1 != r["n"]):
+        return None
+    return F.col(key) - F.lit(r["least"] or 0)
+
+
 def dense_rank_by(rows: DataFrame, key: str, out: str) -> DataFrame:
     """Number rows from 0 by a unique key, without any task seeing all of them.
 

@@ -38,6 +38,12 @@ def pad(records: DataFrame, queries: DataFrame) -> DataFrame:
     return joined.withColumn("ones", F.coalesce("ones", F.array().cast("array<bigint>")))
 
 
+def repeated(records: DataFrame) -> bool:
+    """Whether a query has more than one record."""
+    r = records.agg(F.count("*").alias("n"), F.count("query_id").alias("said"), F.count_distinct("query_id").alias("ids")).first()
+    return r["ids"] < r["said"] or r["n"] - r["said"] > 1
+
+
 def collapse(records: DataFrame, place: str | None = None) -> DataFrame:
     """Several records of a query as one; null only if none of them says anything.  ``place``: a
     column of which the least value is kept."""

@@ -38,7 +38,9 @@ def _sized(table: DataFrame) -> DataFrame:
 def _lookup(rows: DataFrame, table: DataFrame, key: str, value: str, error: str) -> DataFrame:
     """Fill a null ``value`` from ``table`` by ``key``; a key without a row is an error."""
     own = table.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
-    joined = rows.join(_sized(own), F.col(key) == F.col("__k"), "left")
+    # rows without a key match nothing; dealt by the other column, they do not all go to one task
+    dealt = F.coalesce(key, F.xxhash64(value).cast(rows.schema[key].dataType))
+    joined = rows.join(_sized(own), (dealt == F.col("__k")) & F.col(key).isNotNull(), "left")
     missed = F.col(value).isNull() & F.col(key).isNotNull() & F.col("__k").isNull()
     got = F.when(missed, fail(error, F.col(key).cast("string")).cast(rows.schema[value].dataType)).otherwise(F.coalesce(value, "__v"))
     return joined.withColumn(value, got).drop("__k", "__v")
@@ -72,7 +74,8 @@ def _map_targets(a: Alignment, have: str, want: str, key: str, value: str, error
     If the ids of a dictionary of checked size are 0, 1, 2 and so on, they are places in one array
     of names.  Otherwise entries are exploded, joined with the dictionary and gathered again by the
     number of their record, which keeps nulls, empty arrays, repeated entries and order; numbered
-    records are written first, so that a lost executor cannot number them anew.
+    records are written first, so that a lost executor cannot number them anew.  If nothing is left
+    to fill, they stay as they are.
     """
     table = a.targets.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
     kind = a.targets.schema[value].dataType
@@ -91,6 +94,8 @@ def _map_targets(a: Alignment, have: str, want: str, key: str, value: str, error
             return a.with_records(out.withColumn(want, F.coalesce(F.col(want), F.transform(F.col(have), entry))).drop("__names"))
     kept = a.records.columns
     rows = materialize(a.records.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    if rows.filter(F.col(want).isNull() & F.col(have).isNotNull()).isEmpty():
+        return a.with_records(rows.select(kept))
     todo = F.when(F.col(want).isNull(), F.col(have))
     entries = rows.select("__row", F.posexplode(todo).alias("__pos", "__k")).join(_sized(table), "__k", "left")
     entries = entries.select("__row", F.struct("__pos", F.coalesce("__v", missing).alias("__v")).alias("__e"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DuplicatedQueriesErr, NeedQueryNamesErr
@@ -22,19 +22,36 @@ UNNUMBERED = ("fulgor", "bifrost", "sam")
 def prepare(a: Alignment, unmapped: str = "empty") -> Alignment:
     """One record a query with ids and ones filled, as a container needs it."""
     a = a.with_records(materialize(a.records, "parsed"))
+    lacks = _lacking(a.records)
     if a.queries is not None:
-        a = resolve.fill_query_names(resolve.fill_query_ids(a))
-    elif not a.records.filter("query_id IS NULL").isEmpty():
+        # a join is made only if it has something to fill
+        a = resolve.fill_query_ids(a) if lacks["ids"] else a
+        a = resolve.fill_query_names(a) if lacks["names"] else a
+    elif lacks["any_id"]:
         raise NeedQueryNamesErr("named queries need the query list")
-    a = resolve.fill_target_ids(a)
+    a = resolve.fill_target_ids(a) if lacks["ones"] else a
     if unmapped == "error":
         said = F.when(F.col("ones").isNull(), F.raise_error("FieldMissing: ones").cast("array<bigint>")).otherwise(F.col("ones"))
         a = a.with_records(a.records.withColumn("ones", said))
-    # many rows of a query (as SAM has) become one; the first place in the input counts
-    merged = materialize(matrix.collapse(a.records, "row_idx" if "row_idx" in a.records.columns else None), "prepared")
+    place = "row_idx" if "row_idx" in a.records.columns else None
+    own = a.records.withColumn("ones", F.array_sort(F.array_distinct("ones"))).drop("ones_names")
+    merged = materialize(own, "prepared")
+    if matrix.repeated(merged):
+        # many rows of a query (as SAM has) become one; the first place in the input counts
+        merged = materialize(matrix.collapse(merged, place), "collapsed")
     return a.with_records(merged.withColumn("ones_names", F.lit(None).cast("array<string>")))
 
 
+def _lacking(records: DataFrame) -> Row:
+    """How many records lack an id that their name gives, a name that their id gives, ones that names
+    give, and an id at all; those of a column may lack the other too, until it is filled."""
+    no_id, no_name = F.col("query_id").isNull(), F.col("query_name").isNull()
+    return records.agg(
+        F.count_if(no_id & ~no_name).alias("ids"), F.count_if(no_name & ~no_id).alias("names"),
+        F.count_if(F.col("ones").isNull() & F.col("ones_names").isNotNull()).alias("ones"), F.count_if(no_id).alias("any_id"),
+    ).first()
+
+
 def encode(
     spark: SparkSession, source: str, path: str, targets: DataFrame | None = None, queries: DataFrame | None = None, sample: str = "",
     format: str | None = None, rename: bool = False, strip_names: bool = False, block_size: int | None = None,
@@ -45,7 +62,7 @@ def encode(
     if rename:
         a = a.with_records(resolve.rename_queries(a.records, sample))
     named = not strip_names and (rename or a.records.filter("query_name IS NULL").isEmpty())
-    container.write_container(a, path, block_size=block_size, compression=compression, names=named, by=by, folder=folder)
+    container.write_container(a, path, block_size=block_size, compression=compression, names=named, by=by, folder=folder, written=True)
 
 
 def decode(spark: SparkSession, source: str, path: str, format: str = "tsv") -> None:
@@ -56,7 +73,10 @@ def decode(spark: SparkSession, source: str, path: str, format: str = "tsv") ->
     # the order is kept apart, as fields that the format does not show are emptied
     place = F.struct(*container.DECODE_ORDER).alias("place")
     ordered = container.decode_order(a.records).select("*", place).drop("block_id", "no_hits")
-    write_text(resolve.fill(Alignment(ordered, a.targets, None, a.sample), SHOWN[format], fallback=True), format, path, ["place"])
+    # a container holds the ids of all targets, so only their names may have to be filled
+    targets = a.targets if "ones_names" in SHOWN[format] else None
+    filled = resolve.fill(Alignment(ordered, targets, None, a.sample), SHOWN[format], fallback=True)
+    write_text(Alignment(filled.records, a.targets, None, a.sample), format, path, ["place"])
 
 
 def convert(

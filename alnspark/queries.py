@@ -20,7 +20,7 @@ from .operators import concat, matrix, resolve, set_ops
 from .plans import api, cli
 from .sources import container, text
 from .streaming.text import read_stream, render_stream, unique_edges
-from .workspace import shared_path
+from .workspace import materialize, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -373,7 +373,8 @@ class Files:
         return shared_path(self.spark, name)
 
     def write(self, rows: DataFrame, name: str, head: list[str] | None = None) -> str:
-        """Rows (place, value) as a folder of parts in order, after the lines of ``head``."""
+        """Rows (place, value) as a folder of parts in order, after the lines of ``head``.  Bounds of the
+        parts come from a first evaluation, so rows that cost much should be read from a table."""
         path = self.path(name)
         if head:
             first = self.spark.createDataFrame([(i - len(head), x) for i, x in enumerate(head)], "place long, value string")
@@ -386,7 +387,8 @@ class Files:
         a = resolve.fill_target_names(a) if fmt == "metagraph" else a
         rows = a.records if odd is None else a.records.filter(F.col("query_id") % 2 == odd)
         names = [r["target_name"] for r in a.targets.orderBy("target_id").collect()] if fmt in text.HEADERS else []
-        return self.write(rows.select(F.col("query_id").alias("place"), render(fmt, a.targets.count()).alias("value")), fmt, header_lines(fmt, names))
+        lines = materialize(rows.select(F.col("query_id").alias("place"), render(fmt, a.targets.count()).alias("value")), "rendered")
+        return self.write(lines, fmt, header_lines(fmt, names))
 
     def targets(self) -> str:
         return self.write(sup_targets(self.spark, self.sf_dir).toDF("place", "value"), "targets")
@@ -520,7 +522,7 @@ def encode_input_order(spark, sf_dir):
     files, out = Files(spark, sf_dir), shared_path(spark, "encoded")
     a = sup(spark, sf_dir)
     place = (F.col("query_id") % 7) * (1 << 40) + F.col("query_id")
-    source = files.write(a.records.select(place.alias("place"), render("themisto").alias("value")), "lines")
+    source = files.write(materialize(a.records.select(place.alias("place"), render("themisto").alias("value")), "rendered"), "lines")
     files.run("encode", source, "-o", out, "-t", files.targets(), "--sample", "S", "--block-size", "1000")
     return container.read_view(spark, out, "index").select("block_id", "num_records", "first_id", "last_id")
 
@@ -532,7 +534,7 @@ def file_rename(spark, sf_dir):
     files, out = Files(spark, sf_dir), shared_path(spark, "encoded")
     a = sup(spark, sf_dir)
     place = (F.col("query_id") % 7) * (1 << 40) + F.col("query_id")
-    source = files.write(a.records.select(place.alias("place"), render("themisto").alias("value")), "lines")
+    source = files.write(materialize(a.records.select(place.alias("place"), render("themisto").alias("value")), "rendered"), "lines")
     files.run("encode", source, "-o", out, "-t", files.targets(), "--sample", "S", "--rename")
     return container.read_queries(spark, out)
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 from ..errors import CorruptedInputErr, HeaderPromiseNotHonoured, IncompatibleFileHeadersErr, QueryIdsNotFilled, QueryNamesNotFilled, SetBitsNotSorted
-from ..model import Alignment, dense_rank_by
+from ..model import Alignment, dense_places, dense_rank_by
 from ..workspace import materialize
 from . import layout
 from .text import target_table
@@ -355,14 +355,15 @@ def _packer(n_targets: int, kind: int, size: int, compression: int, names: bool)
 
     def packed(block: int, part: int, held: list[pa.RecordBatch]):
         table = pa.Table.from_batches(held)
-        ids = table.column("query_id").to_pylist()
+        own_ids = table.column("query_id").to_numpy()
+        ids = own_ids.tolist()
         hits = table.column("ones").combine_chunks()
-        owner = np.repeat(np.asarray(ids, np.int64), np.diff(hits.offsets.to_numpy()))
+        owner = np.repeat(own_ids, np.diff(hits.offsets.to_numpy()))
         target = hits.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         if len(target) and not 0 <= int(target.min()) <= int(target.max()) < max(n_targets, 1):
             raise CorruptedInputErr("IndexNotFound: a target outside the dictionary")
         bits = np.unique(owner * n_targets + target)
-        own = table.column("query_name").to_pylist() if names else None
+        own = table.column("query_name").to_numpy().tolist() if names else None
         if own is not None and None in own:
             raise QueryNamesNotFilled("a record has no query name")
         data = layout.Block(ids, own, bits, kind, compression).pack()
@@ -402,12 +403,14 @@ def write_container(
     by: str = "query_id",
     folder: bool = False,
     query_names: DataFrame | None = None,
+    written: bool = False,
 ) -> None:
     """Write records (one row a query, ``ones`` filled) as one container.
 
     ``by``: ``query_id`` cuts blocks by id divided by the block size; ``row_idx`` gives every block
     so many records in input order.  A null ``ones`` counts as empty.  ``folder``: leave the blocks
     in files of their own.  ``query_names`` (query_id, query_name) replaces the records' names.
+    ``written``: the records are read from a table and need not be written to one first.
     """
     targets = [r["target_name"] for r in a.targets.orderBy("target_id").toLocalIterator()]
     ones = F.coalesce("ones", F.array().cast("array<bigint>")).alias("ones")
@@ -419,7 +422,11 @@ def write_container(
 
         bare = records.withColumn("query_name", F.lit(None).cast("string"))
         records = fill_query_names(Alignment(bare, a.targets, query_names)).records
-    records = dense_rank_by(records, "row_idx", "__place") if place else materialize(records, "records")
+    if not written:
+        records = materialize(records, "records")
+    if place:
+        at = dense_places(records, "row_idx")
+        records = dense_rank_by(records, "row_idx", "__place") if at is None else records.withColumn("__place", at)
     top = records.agg(F.count("*").alias("n"), F.max("query_id").alias("top"), F.count("query_id").alias("ids")).first()
     if top["ids"] < top["n"]:
         raise QueryIdsNotFilled("a record has no query id")

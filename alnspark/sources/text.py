@@ -41,8 +41,16 @@ def with_row_index(rows: DataFrame) -> DataFrame:
 
 
 def first_line(spark: SparkSession, path: str) -> str:
-    got = lines(spark, path).orderBy("file", "block", "place").limit(1).collect()
-    return got[0]["value"] if got else ""
+    """The first line of the first file that has one: a few files are looked at one by one, of each
+    the first split, before all lines are put in order."""
+    for file in [*sorted(spark.read.text(path).inputFiles())[:3], None]:
+        rows = lines(spark, path)
+        if file is not None:  # a local file has one slash or three
+            rows = rows.filter(F.col("file").isin(file, file.replace("file:///", "file:/")) & (F.col("block") == 0))
+        got = rows.orderBy("file", "block", "place").limit(1).collect()
+        if got:
+            return got[0]["value"]
+    return ""
 
 
 def read_names(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -126,14 +134,12 @@ def write_text(a: Alignment, fmt: str, path: str, order: list[str] | None = None
     """Write lines as a folder of parts, in input order or by the columns ``order``: the header, if
     the format has one and there are records, is the first line of the first part.  Lines are
     computed once."""
-    out = rendered(a, fmt, order)
+    out = materialize(rendered(a, fmt, order), "lines")
     by = [c for c in out.columns if c != "value"]
-    if fmt in HEADERS:
-        out = materialize(out, "lines")
-        if not out.isEmpty():
-            names = [r["target_name"] for r in a.targets.orderBy("target_id").select("target_name").toLocalIterator()]
-            head = out.sparkSession.createDataFrame([(x,) for x in header_lines(fmt, names)], "value string")
-            out = head.select(*[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in by], "value").unionByName(out)
+    if fmt in HEADERS and not out.isEmpty():
+        names = [r["target_name"] for r in a.targets.orderBy("target_id").select("target_name").toLocalIterator()]
+        head = out.sparkSession.createDataFrame([(x,) for x in header_lines(fmt, names)], "value string")
+        out = head.select(*[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in by], "value").unionByName(out)
     # nulls, and so the header, come first
     out.repartitionByRange(*by).sortWithinPartitions(*by).select("value").write.mode("overwrite").text(path)
 
